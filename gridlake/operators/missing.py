@@ -8,13 +8,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.runtime import require
+from gridlake.runtime import cut, require
 
 # Numbers that loggers put in place of a missing measurement.
 PLACEHOLDER_NUMBERS = [-999.0, -999.9, -9999.0, -99999.0, 9999.0, 99999.0]
 # Words, in lower case, put in place of a missing category.
 PLACEHOLDER_WORDS = ["", "-", "--", "?", "na", "n/a", "n/d", "nd", "nan", "none", "null", "unknown", "undefined", "missing", "tbd"]
 
+# Groups whose means are broadcast at most (some 100 bytes each).
+BROADCAST_GROUPS = 100_000
+
 
 def no_number(c: Column) -> Column:
     """TRUE where there is nothing, not a number, or a placeholder number; never NULL."""
@@ -107,7 +110,9 @@ def impute_chained(
         "b": F.when(F.col("za").isNull(), both_b).otherwise(dot(beta["b"], ["za", *complete])),
     }
     level = _levels(base)
-    x = x.join(level["group"], "_g", "left").crossJoin(F.broadcast(level["all"]))
+    groups = cut(level["group"])
+    # A row per group: sent to all tasks only up to a size, else joined by a shuffle.
+    x = x.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "_g", "left").crossJoin(F.broadcast(level["all"]))
     out = {}
     for f in "ab":
         mean = F.coalesce("m1" + f, "g" + f, "t" + f)
