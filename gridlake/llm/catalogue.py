@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlake.llm.clusters import cluster_curves, describe_clusters, pairs_together
 from gridlake.llm.leaks import find_leaks
 from gridlake.llm.percentiles import merge_counts, percentiles, value_counts
 from gridlake.llm.repetition import repetition_report
@@ -21,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_together(table(spark, sf_dir, "curve_pairs"), cluster_curves(table(spark, sf_dir, "load_curves")))
+
+
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_curves(table(spark, sf_dir, "load_curves"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_clusters(cluster_curves(table(spark, sf_dir, "load_curves")))
+
+
 def _by(spark: SparkSession, sf_dir: str, name: str, key: Column) -> DataFrame:
     rows = table(spark, sf_dir, "building_hourly")
     got = percentiles(value_counts(rows, {name: key}, F.col("qe"), no_number(F.col("qe"))), [name], POINTS)
@@ -65,7 +78,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_building, p4_usetype, p4_month, p4_combined, p7_ids, p8_found, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p2_found, p2_members, p2_clusters, p4_building, p4_usetype, p4_month, p4_combined, p7_ids, p8_found, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
