@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,9 +35,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write a table to the shared folder, where it survives the loss of executors, and read it.
+
+    A checkpoint would keep the size the optimiser guessed for the plan. A join's guess is the
+    product of its sides, so in loops of joins the guesses square until they fill the memory.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/gridlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = df.sparkSession
+    out._gridlake_path = path
+    return out
+
+
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a cut() that nothing will read again."""
+    _delete(getattr(df, "_gridlake_path", ""))
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_WRITTEN):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
 
 
 def require(df: DataFrame, *columns: str) -> None:
