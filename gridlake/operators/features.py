@@ -86,18 +86,19 @@ def low_pass(df: DataFrame, keys: list[str], features: list[str], alpha: float,
         def step(acc: Column, x: Column) -> Column:
             v = x["row"][f].cast("double")
             last = F.element_at(acc, -1)
-            y = F.when(v.isNotNull(), alpha * F.coalesce(last["y"], F.lit(0.0)) + (1 - alpha) * v)
+            # The fold's type is its start's, without NULLs: ok marks rows with a value.
+            y = F.coalesce(alpha * last["y"] + (1 - alpha) * v, F.lit(0.0))
             # p: the factor with which the value before the chunk still counts; 0 once restarted.
-            p = F.when(v.isNotNull() & (last["y"].isNotNull() | (F.size(acc) == 1)), last["p"] * alpha).otherwise(0.0)
-            return F.concat(acc, F.array(F.struct(y.alias("y"), p.alias("p"))))
+            p = F.when(v.isNotNull() & last["ok"], last["p"] * alpha).otherwise(0.0)
+            return F.concat(acc, F.array(F.struct(y.alias("y"), p.alias("p"), v.isNotNull().alias("ok"))))
 
-        start = F.array(F.struct(F.lit(0.0).alias("y"), F.lit(1.0).alias("p")))
+        start = F.array(F.struct(F.lit(0.0).alias("y"), F.lit(1.0).alias("p"), F.lit(True).alias("ok")))
         return F.aggregate("_a", start, step)
 
     def chained(f: str) -> Column:
         def carry(acc: Column, x: Column) -> Column:
             t = x[f"_t{f}"]
-            return F.concat(acc, F.array(F.when(t["y"].isNotNull(), t["y"] + t["p"] * F.coalesce(F.element_at(acc, -1), F.lit(0.0)))))
+            return F.concat(acc, F.array(t["y"] + t["p"] * F.element_at(acc, -1)))
 
         return F.aggregate("_c", F.array(F.lit(0.0)), carry)
 
@@ -111,7 +112,7 @@ def low_pass(df: DataFrame, keys: list[str], features: list[str], alpha: float,
     zipped = F.expr("sequence(0, size(x._a) - 1)")
     out = joined.select(F.explode(F.transform(zipped, lambda i: F.struct(
         F.col("x._a")[i]["row"].alias("row"),
-        *[(F.col(f"x._{f}")[i + 1]["y"] + F.col(f"x._{f}")[i + 1]["p"] * F.coalesce(at(f), F.lit(0.0))).alias(f"{f}_lpf") for f in features],
+        *[F.when(F.col(f"x._{f}")[i + 1]["ok"], F.col(f"x._{f}")[i + 1]["y"] + F.col(f"x._{f}")[i + 1]["p"] * at(f)).alias(f"{f}_lpf") for f in features],
     ))).alias("_o"))
     return out.select("_o.row.*", *[f"_o.{f}_lpf" for f in features])
 
@@ -138,11 +139,11 @@ def degree_days(df: DataFrame, keys: list[str], temperature: str, bases: list[fl
 
 
 def boxcox(x: Column, lam: float) -> Column:
-    return F.when(x > 0, F.log(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / lam)
+    return F.when(x > 0, F.log(x) if abs(lam) < 1e-9 else (F.pow(x, F.lit(lam)) - 1) / lam)
 
 
 def boxcox_inverse(y: Column, lam: float) -> Column:
-    return F.exp(y) if lam == 0 else F.when(lam * y + 1 > 0, F.exp(F.log(lam * y + 1) / lam))
+    return F.exp(y) if abs(lam) < 1e-9 else F.when(lam * y + 1 > 0, F.exp(F.log(lam * y + 1) / lam))
 
 
 def boxcox_lambda(df: DataFrame, value: str, steps: int = 81) -> float:

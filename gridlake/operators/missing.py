@@ -118,9 +118,10 @@ def impute_chained(
         mean = F.coalesce("m1" + f, "g" + f, "t" + f)
         sd = F.coalesce("sd" + f, F.lit(0.0))
         raw = mean + (est[f] + noise[f]) * sd
-        raw = F.pow(F.greatest(raw, F.lit(0.0)), 2) if f == "a" else raw
         lo, hi = plausible["ab".index(f)]
-        out[f] = F.when(~F.col("m" + f), F.col(f)).otherwise(F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))
+        value = F.pow(F.greatest(raw, F.lit(0.0)), 2) if f == "a" else raw
+        value = F.when(raw.isNotNull(), F.least(F.greatest(value, F.lit(lo)), F.lit(hi)))  # greatest() would pass over a NULL
+        out[f] = F.when(~F.col("m" + f), F.col(f)).otherwise(value)
     kind = F.when(~F.col("mu"), F.col("u")).otherwise(F.coalesce("cu", "gu", "tu"))
     return x.select(
         F.col("_id").alias(id_column),

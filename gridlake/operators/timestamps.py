@@ -166,10 +166,10 @@ def normalise_timestamps(
     (NULL, empty, words, impossible dates, a date without time). Without zone information the text
     is wall-clock time in the source's zone, UTC where there is none; an hour that occurs twice is
     the first one, a skipped one is read with the offset before the change. ``posterior`` is the
-    probability of the reading chosen under the source's fitted notation mixture; ``ambiguous``
+    probability of the reading taken under the source's fitted notation mixture; ``ambiguous``
     marks rows whose other reading keeps more than ``doubt``. The convention that slashed dates
-    begin with the month in the Americas and with the day elsewhere is the prior of the mixture;
-    as the last step, a reading against the convention is refused. Extra columns are kept; rows
+    begin with the month in the Americas and with the day elsewhere is the prior of the mixture,
+    and as the last step it decides: where the mixture prefers the other reading, the row is marked. Extra columns are kept; rows
     with a NULL source are read in UTC.
     """
     own = list(df.columns)
@@ -198,13 +198,13 @@ def normalise_timestamps(
     rows = rows.join(info, "_source", "left")
     us, p = F.coalesce("_us", F.lit(False)), F.coalesce("_share", F.lit(1e-9))
     month_first = sig(p, F.col("_llr").cast("double"))
-    chosen_mdy = month_first >= 0.5
-    slashed = F.when(chosen_mdy & us, F.col("_mdy")).when(~chosen_mdy & ~us, F.col("_dmy"))
+    # The convention decides in the end: against it a reading is only marked, never taken.
+    slashed = F.when(us, F.col("_mdy")).otherwise(F.col("_dmy"))
     wall = F.coalesce("_one", slashed)
     zone = F.coalesce("zone", F.lit("UTC"))
     local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone))
     utc = F.coalesce("_abs", F.when(~F.col("_badzone"), F.coalesce(wall - F.col("_off").cast("bigint") * 60_000_000, local)))
-    post = F.when(F.col("_family") == "slashed", F.when(chosen_mdy, month_first).otherwise(1 - month_first)).otherwise(F.lit(1.0))
+    post = F.when(F.col("_family") == "slashed", F.when(us, month_first).otherwise(1 - month_first)).otherwise(F.lit(1.0))
     return rows.select(
         *[F.col("_row")[c].alias(c) for c in own],
         utc.alias("utc_us"),

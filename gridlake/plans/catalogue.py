@@ -17,6 +17,9 @@ from gridlake.operators import outliers as ou
 from gridlake.operators import profiles as pf
 from gridlake.operators import resample as rs
 
+# Added before rounding on both sides: means of two-decimal values often end in an exact half.
+NUDGE = 1.3e-8
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -46,7 +49,7 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
         if kind.startswith("timestamp"):
             c = F.unix_timestamp(c.cast("timestamp"))
         elif kind == "double":
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + NUDGE, digits) + F.lit(0.0)
         elif kind == "date":
             c = F.date_format(c, "yyyy-MM-dd")
         elif kind in ("int", "smallint", "tinyint"):
@@ -69,7 +72,7 @@ K = ["series_id"]
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
-    return f"round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}"
+    return f"round(({expr})::DOUBLE + {NUDGE}::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}"
 
 
 T = "epoch(time)::BIGINT AS time"
