@@ -69,24 +69,25 @@ def density_valleys(values: np.ndarray, adjust: float = 3.0) -> np.ndarray:
     return x[1:-1][(d[1:-1] < d[:-2]) & (d[1:-1] <= d[2:])]
 
 
-def spline_basis(x: np.ndarray, knots: int = 10) -> np.ndarray:
-    """Cubic truncated-power basis with knots at quantiles."""
-    k = np.unique(np.quantile(x, np.linspace(0, 1, knots + 2)[1:-1]))
-    s = (x - x.mean()) / max(x.std(), 1e-12)
-    ks = (k - x.mean()) / max(x.std(), 1e-12)
-    return np.stack([np.ones_like(s), s, s**2, s**3, *[np.maximum(s - q, 0) ** 3 for q in ks]], axis=1)
-
-
-def spline_fit(x: np.ndarray, y: np.ndarray, at: np.ndarray, knots: int = 10, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(fit, standard error) at ``at`` of a penalised cubic spline of y on x."""
-    both = spline_basis(np.concatenate([x, at]), knots)
-    b, c = both[: len(x)], both[len(x) :]
+def spline_basis(x: np.ndarray, of: np.ndarray, knots: int = 10) -> np.ndarray:
+    """Cubic truncated-power basis at x, with knots at quantiles of ``of``."""
+    k = np.unique(np.quantile(of, np.linspace(0, 1, knots + 2)[1:-1]))
+    scale = lambda v: (v - of.mean()) / max(of.std(), 1e-12)
+    s = scale(x)
+    return np.stack([np.ones_like(s), s, s**2, s**3, *[np.maximum(s - q, 0) ** 3 for q in scale(k)]], axis=1)
+
+
+def spline_slope(x: np.ndarray, y: np.ndarray, at: np.ndarray, knots: int = 10, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fit, slope, standard error of the slope) at ``at`` of a penalised cubic spline of y on x."""
+    b = spline_basis(x, x, knots)
     d = np.diag([0.0] * 4 + [penalty] * (b.shape[1] - 4))
     inv = np.linalg.pinv(b.T @ b + d)
     coef = inv @ b.T @ y
     free = max(len(x) - np.trace(inv @ b.T @ b), 1.0)
     var = np.sum((y - b @ coef) ** 2) / free
-    return c @ coef, np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", c, inv, c) * var, 0))
+    h = max(np.ptp(x), 1e-9) * 1e-4
+    c = (spline_basis(at + h, x, knots) - spline_basis(at - h, x, knots)) / (2 * h)
+    return spline_basis(at, x, knots) @ coef, c @ coef, np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", c, inv, c) * var, 0))
 
 
 def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75) -> np.ndarray:

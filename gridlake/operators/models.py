@@ -51,8 +51,8 @@ def build_features(features: list[Feature], out: str = "features") -> list:
 
 
 def fit_linear(df: DataFrame, features: list[Feature], target: str, family: str = "gaussian", link: str | None = None) -> PipelineModel:
-    """Generalised linear model by distributed reweighted least squares: gaussian, poisson, gamma, binomial, tweedie. No intercept is added."""
-    glm = GeneralizedLinearRegression(family=family, labelCol=target, featuresCol="features", fitIntercept=False, maxIter=25, regParam=1e-9, predictionCol="predicted", **({"link": link} if link else {}))
+    """Generalised linear model by distributed reweighted least squares: gaussian, poisson, gamma, binomial, tweedie. An intercept is always fitted."""
+    glm = GeneralizedLinearRegression(family=family, labelCol=target, featuresCol="features", fitIntercept=True, maxIter=25, regParam=1e-9, predictionCol="predicted", **({"link": link} if link else {}))
     return Pipeline(stages=[*build_features(features), glm]).fit(df.where(F.col(target).isNotNull()))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.functions.numerics import eigengap, spectral_clusters, spline_fit
+from gridlake.functions.numerics import eigengap, spectral_clusters, spline_slope
 from gridlake.runtime import require
 
 
@@ -85,8 +85,8 @@ def change_points(df: DataFrame, keys: list[str], tz: str, temperature: str = "t
     """(keys..., tbalh, tbalc, heating, cooling): temperatures below and above which the daily consumption depends on the weather.
 
     A penalised spline of daily consumption on daily mean temperature; where its slope is surely
-    negative for three or more grid points up to 16 degrees there is heating, tbalh is the run's upper
-    end; likewise positive and from 20 degrees for cooling. Each group's daily means are one task.
+    negative (95 %, and a tenth of the steepest) for three or more grid points that begin up to 16
+    degrees there is heating, tbalh is the run's upper end; likewise positive, to 20 degrees or over, for cooling. Each group's daily means are one task.
     """
     require(df, time, value, temperature, *keys)
     day = F.to_date(F.from_utc_timestamp(F.col(time).cast("timestamp"), tz))
@@ -98,11 +98,10 @@ def change_points(df: DataFrame, keys: list[str], tz: str, temperature: str = "t
         t, v = pdf.t[ok].to_numpy(), pdf.v[ok].to_numpy()
         if ok.sum() >= 20 and np.ptp(t) > 1:
             at = np.linspace(t.min(), t.max(), points)
-            fit, se = spline_fit(t, v, at)
-            step = at[1] - at[0]
-            slope, err = np.gradient(fit, step), np.maximum(se, 1e-12) / max(np.ptp(t) / 4, 1e-9) * 1.96
+            _, slope, se = spline_slope(t, v, at)
+            least = np.maximum(1.96 * se, 0.1 * np.max(np.abs(slope)))
             for sign, name in ((-1, "h"), (1, "c")):
-                sure = slope * sign > err
+                sure = slope * sign > least
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], sure.astype(int), [0]])))
                 for a, b in zip(edge[::2], edge[1::2], strict=True):
                     if b - a >= 3 and (at[a] <= 16 if name == "h" else at[b - 1] >= 20):

@@ -46,12 +46,12 @@ class KeyedStore:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
     def _pointer(self):  # noqa: ANN202
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _version(self) -> str | None:
         p, fs = self._pointer()
-        return json.loads(self.spark.read.text(f"{self.path}/_current", wholetext=True).first()[0])["version"] if fs.exists(p) else None
+        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])["version"] if fs.exists(p) else None
 
     def read(self) -> DataFrame | None:
         v = self._version()
