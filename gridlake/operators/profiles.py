@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.functions.numerics import eigengap, spectral_clusters, spline_slope
+from gridlake.functions.numerics import density_valleys, eigengap, spectral_clusters, spline_slope
 from gridlake.runtime import require
 
 
@@ -114,3 +114,49 @@ def change_points(df: DataFrame, keys: list[str], tz: str, temperature: str = "t
 
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return days.groupBy(*keys).applyInPandas(run, f"{schema}, tbalh double, tbalc double, heating boolean, cooling boolean")
+
+
+def consumption_levels(df: DataFrame, keys: list[str], value: str = "value", bins: int = 512) -> DataFrame:
+    """(keys..., level, above): where the density of a group's values has valleys, level 0 beginning at its minimum.
+
+    The values are counted in ``bins`` of equal width between the group's extremes before the
+    density is estimated, so a group may have any number of rows.
+    """
+    require(df, value, *keys)
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ends = v.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+    mid = F.col("_a") + (F.floor(F.least(F.coalesce(F.try_divide(F.col("_v") - F.col("_a"), F.col("_z") - F.col("_a")), F.lit(0.0)) * bins, F.lit(bins - 1.0))) + 0.5) * (F.col("_z") - F.col("_a")) / bins
+    counts = v.join(ends, keys).groupBy(*keys, mid.alias("_m")).agg(F.count("*").alias("_n"), F.min("_a").alias("_a"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["_n"].to_numpy()
+        # A thousand values in the same proportions give the same density.
+        sample = np.repeat(pdf["_m"].to_numpy(), np.maximum(1, np.round(n * 1000 / n.sum()).astype(int)))
+        above = [pdf["_a"].iloc[0], *density_valleys(sample, 1.0)]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(above) for k in keys}, "level": range(len(above)), "above": above})
+
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return counts.groupBy(*keys).applyInPandas(run, f"{schema}, level int, above double")
+
+
+def calendar_classifier(days: DataFrame, label: str, date: str = "date", trees: int = 50, seed: int = 1):  # noqa: ANN201
+    """A random forest that tells a day's kind from its month, day of the year and weekday; transform() adds ``predicted``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+
+    calendar = SQLTransformer(statement=f"SELECT *, CAST(month({date}) AS DOUBLE) AS _month, CAST(dayofyear({date}) AS DOUBLE) AS _day, CAST(weekday({date}) AS DOUBLE) AS _weekday FROM __THIS__")
+    known = days.where(F.col(label).isNotNull() & F.col(date).isNotNull())
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(known)
+    vector = VectorAssembler(inputCols=["_month", "_day", "_weekday"], outputCol="_features")
+    forest = RandomForestClassifier(numTrees=trees, seed=seed, labelCol="_label", featuresCol="_features", predictionCol="_predicted", probabilityCol="_p", rawPredictionCol="_raw")
+    names = IndexToString(inputCol="_predicted", outputCol="predicted", labels=index.labels)
+    model = Pipeline(stages=[calendar, vector, forest, names])
+    return model.fit(index.transform(known))
+
+
+def classify_days(days: DataFrame, centres: DataFrame, columns: list[str], label: str, classifier, date: str = "date") -> DataFrame:  # noqa: ANN001
+    """Add ``label``: the nearest centre's, or by the calendar where a day's curve is incomplete; ``by`` tells which."""
+    near = nearest_centroid(days, centres, columns, label)
+    got = classifier.transform(near)
+    return got.select(*days.columns, F.coalesce(label, "predicted").alias(label), F.when(F.col(label).isNotNull(), "curve").otherwise("calendar").alias("by"))

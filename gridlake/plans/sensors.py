@@ -47,3 +47,22 @@ def sensor_zones(spark, d):
 @query()
 def energy_signature(spark, d):
     return se.energy_signature(readings(spark, d), S, "UTC")
+
+
+@query()
+def consumption_levels(spark, d):
+    from gridlake.operators.profiles import consumption_levels as levels
+
+    return levels(readings(spark, d), S)
+
+
+@query()
+def classification(spark, d):
+    from gridlake.operators import profiles as pf
+
+    e = table(spark, d, "events").select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("time"), "value")
+    m = pf.load_curve_matrix(e, K, "UTC", 4)
+    parts = [c for c in m.columns if c.startswith("part_")]
+    kinds = m.withColumn("kind", F.when(F.weekday("date") >= 5, "weekend").otherwise("workday"))
+    centres = kinds.groupBy(F.col("kind").alias("s")).agg(*[F.avg(c).alias(c) for c in parts])
+    return pf.classify_days(m, centres, parts, "s", pf.calendar_classifier(kinds, "kind"))

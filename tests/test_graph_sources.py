@@ -110,3 +110,14 @@ def test_streams(spark, series, tmp_path):
     got = column(spark.table("lpf"), "value_lpf")
     assert [round(x, 4) for x in got[:4]] == [0.5, 1.25, 2.125, 3.0625]
     assert column(spark.table("win"), "SUM") == [21, 34]
+
+
+def test_levels_and_day_kinds(spark, series):
+    rng = np.random.default_rng(2)
+    df = series(np.concatenate([rng.normal(10, 1, 300), rng.normal(50, 2, 300)]))
+    got = [r.above for r in pf.consumption_levels(df, K).orderBy("level").collect()]
+    assert len(got) == 2 and 15 < got[1] < 45
+    days = spark.sql("SELECT explode(sequence(date'2024-01-01', date'2024-06-30')) AS date").withColumn("kind", F.when(F.weekday("date") >= 5, "off").otherwise("on")).withColumn("x", F.when(F.dayofmonth("date") != 9, F.when(F.weekday("date") >= 5, 1.0).otherwise(5.0)))
+    centres = spark.createDataFrame([("off", 1.0), ("on", 5.0)], "s string, x double")
+    out = pf.classify_days(days, centres, ["x"], "s", pf.calendar_classifier(days, "kind")).collect()
+    assert all(r.s == r.kind for r in out) and {r.by for r in out} == {"curve", "calendar"}
