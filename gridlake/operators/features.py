@@ -70,17 +70,17 @@ def lag_components(df: DataFrame, keys: list[str], features: list[str], lags: li
     return df.withColumns(lagged)
 
 
-def low_pass(df: DataFrame, keys: list[str], features: list[str], alpha: float, time: str = "time", chunk: int = 4096) -> DataFrame:
+def low_pass(df: DataFrame, keys: list[str], features: list[str], alpha: float, time: str = "time", chunk: str = "P30D") -> DataFrame:
     """Add {feature}_lpf: y = alpha * previous y + (1 - alpha) * x per series; a NULL restarts the filter.
 
-    The recurrence is linear, so a series is cut in chunks of rows that are folded side by side from
+    The recurrence is linear, so a series is cut in chunks of time that are folded side by side from
     zero; what a chunk hands on is a power of alpha times what it got. Only one row per chunk is then
-    folded per series.
+    folded per series. Rows of the same time are taken in order of their columns; rows without a time
+    get NULL.
     """
     require(df, time, *keys, *features)
-    order = Window.partitionBy(*keys).orderBy(time)
-    rows = df.withColumn("_r", F.row_number().over(order) - 1).withColumn("_k", F.floor(F.col("_r") / chunk))
-    packed = rows.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(F.struct("_r", F.struct(*df.columns).alias("row")))).alias("_a"))
+    k = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds(chunk))
+    packed = df.withColumn("_k", k).groupBy(*keys, "_k").agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("_t"), F.struct(*df.columns).alias("row")))).alias("_a"))
 
     def fold(f: str) -> Column:
         def step(acc: Column, x: Column) -> Column:
@@ -104,11 +104,11 @@ def low_pass(df: DataFrame, keys: list[str], features: list[str], alpha: float,
 
     folded = packed.withColumns({f"_{f}": fold(f) for f in features})
     tails = folded.select(*keys, "_k", *[F.element_at(f"_{f}", -1).alias(f"_t{f}") for f in features])
-    chain = tails.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", *[f"_t{f}" for f in features]))).alias("_c"))
+    chain = tails.where("_k IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", *[f"_t{f}" for f in features]))).alias("_c"))
     got = [chained(f).alias(f"_in{f}") for f in features]
     same = [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    joined = folded.alias("x").join(chain.select(*keys, *got).alias("c"), same)
-    at = lambda f: F.col(f"c._in{f}")[F.col("x._k").cast("int")]
+    joined = folded.alias("x").join(chain.select(*keys, F.transform("_c", lambda c: c["_k"]).alias("_ks"), *got).alias("c"), same, "left")
+    at = lambda f: F.get(f"c._in{f}", (F.array_position("c._ks", F.col("x._k")) - 1).cast("int"))
     zipped = F.expr("sequence(0, size(x._a) - 1)")
     out = joined.select(F.explode(F.transform(zipped, lambda i: F.struct(
         F.col("x._a")[i]["row"].alias("row"),

@@ -288,7 +288,7 @@ def lags(spark, d):
 
 @query(f"WITH {HOURS}, o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY time) AS rn FROM h) SELECT series_id, {T}, {r('0.5::DOUBLE * pow(0.5::DOUBLE, rn) * sum(value * pow(2.0::DOUBLE, rn)) OVER (PARTITION BY series_id ORDER BY time)', 'value_lpf')} FROM o")
 def lpf(spark, d):
-    return fe.low_pass(hours(spark, d), K, ["value"], 0.5, chunk=64).select("series_id", "time", "value_lpf")
+    return fe.low_pass(hours(spark, d), K, ["value"], 0.5, chunk="P3D").select("series_id", "time", "value_lpf")
 
 
 @query(f"SELECT event_id, {r('CASE WHEN value < 40 THEN 40 + 2 - value ELSE 0 END', 'heating')}, {r('least(CASE WHEN value > 50 THEN value - (50 - 2) ELSE 0 END, 30)', 'cooling')} FROM events")
