@@ -22,14 +22,15 @@ def fill_series(df: DataFrame, keys: list[str], method: str = "linear", max_gap:
         bad = bad | F.coalesce(F.col(m), F.lit(False))
     v = F.when(~bad & ~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
     order = Window.partitionBy(*keys).orderBy(time)
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # What comes next is seen from the end: frames up to a partition's end are gone through for every row.
+    back, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (order, Window.partitionBy(*keys).orderBy(F.desc(time))))
     t = F.unix_micros(F.col(time).cast("timestamp"))
     df = df.withColumns({"_v": v, "_r": F.row_number().over(order), "_t": t})
     known = lambda c: F.when(F.col("_v").isNotNull(), F.col(c))
     df = df.withColumns({
-        "_p": F.last("_v", True).over(back), "_n": F.first("_v", True).over(ahead),
-        "_pr": F.last(known("_r"), True).over(back), "_nr": F.first(known("_r"), True).over(ahead),
-        "_pt": F.last(known("_t"), True).over(back), "_nt": F.first(known("_t"), True).over(ahead),
+        "_p": F.last("_v", True).over(back), "_n": F.last("_v", True).over(ahead),
+        "_pr": F.last(known("_r"), True).over(back), "_nr": F.last(known("_r"), True).over(ahead),
+        "_pt": F.last(known("_t"), True).over(back), "_nt": F.last(known("_t"), True).over(ahead),
     })
     line = F.when(F.col("_nr") > F.col("_pr"), F.col("_p") + (F.col("_n") - F.col("_p")) * (F.col("_r") - F.col("_pr")) / (F.col("_nr") - F.col("_pr")))
     new = {"forward": F.col("_p"), "backward": F.col("_n"), "linear": F.coalesce(line, "_p", "_n"), "model": F.col(model) if model else F.lit(None)}[method]

@@ -29,8 +29,9 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], columns: li
     both = left.select(*keys, F.col(time), F.struct(*left.columns).alias("_row"), F.lit(None).cast(kind).alias("_x")).unionByName(
         right.where(F.col(time).isNotNull()).select(*keys, F.col(time), F.lit(None).cast(left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType).alias("_row"), info.alias("_x"))
     )
-    w = Window.partitionBy(*keys).orderBy(time)
-    both = both.withColumns({"_b": F.last("_x", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_a": F.first("_x", True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    # Rows of the same time count on both sides; what comes after is seen from the end, in one pass.
+    upto = lambda by: F.last("_x", True).over(Window.partitionBy(*keys).orderBy(by).rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"_b": upto(F.asc(time)), "_a": upto(F.desc(time))})
     us = lambda c: F.unix_micros(c.cast("timestamp"))
     before, after = us(F.col(time)) - us(F.col("_b.t")), us(F.col("_a.t")) - us(F.col(time))
     pick = F.when(after.isNull() | (before <= after), F.col("_b")).otherwise(F.col("_a"))
@@ -39,8 +40,8 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], columns: li
 
 def next_known(df: DataFrame, keys: list[str], column: str, time: str = "time") -> DataFrame:
     """NULLs of ``column`` take the next known value of the series."""
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(column, F.first(column, ignorenulls=True).over(w))
+    w = Window.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
 
 
 @dataclass(frozen=True)

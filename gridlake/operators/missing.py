@@ -80,13 +80,14 @@ def impute_chained(
     base = base.withColumn("ka", F.sqrt("ka"))
     block = Window.partitionBy("_s", "_c")
     before = block.orderBy("_t", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    behind = block.orderBy("_t", "_id").rowsBetween(1, Window.unboundedFollowing)
+    # Seen from the end: a frame that ends with the partition would be gone through again for every row.
+    behind = block.orderBy(F.desc("_t"), F.desc("_id")).rowsBetween(Window.unboundedPreceding, -1)
     hourly = Window.partitionBy("_s", "_c", "_h")
     x = base
     for f in "ab":
         k = F.col("k" + f)
         x = x.withColumns({
-            "p" + f: F.last(k, ignorenulls=True).over(before), "n" + f: F.first(k, ignorenulls=True).over(behind),
+            "p" + f: F.last(k, ignorenulls=True).over(before), "n" + f: F.last(k, ignorenulls=True).over(behind),
             "hs" + f: F.sum(k).over(hourly), "hn" + f: F.count(k).over(hourly),
             "m1" + f: F.avg(k).over(block), "sd" + f: F.stddev_pop(k).over(block),
         })
