@@ -18,6 +18,7 @@ from gridlake.runtime import cut, discard, require
 
 HOURS = 24
 BLOCK = 128  # rows compared at once with their block and the blocks before and after
+FLOOR = 1e-4  # distances below count as this
 
 
 def shapes(curves: list[list | None]) -> np.ndarray:
@@ -220,94 +221,166 @@ def kruskal(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def condense(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, weight: np.ndarray, least: int, merge_below: float) -> tuple[np.ndarray, np.ndarray]:
-    """(cluster, fall) of n nodes from a spanning forest's edges: the cluster chosen or -1, and the distance at which a node leaves it.
+def climb(parts: list[list], a: np.ndarray, b: np.ndarray, w: np.ndarray, least: float, merge_below: float, first: int) -> tuple[np.ndarray, list[tuple], list[tuple]]:
+    """Condense single linkage from its leaves up along edges of ascending weight: (root of each part, left, closed).
 
-    Single linkage of the forest is condensed: a split counts if both sides weigh ``least``,
-    otherwise the lighter side's nodes fall out of the cluster. Of nested clusters the more stable
-    are chosen (excess of mass), but none that was born below the distance ``merge_below``: its
-    ancestor stands for it. Nodes that fall out at more than ``merge_below`` belong to none.
+    A part is [mass, area, run, below, late, members], and is changed to what it has grown to. One
+    that weighs ``least`` is the inside of a cluster, its run: area is the sum of mass over the
+    distance at which it left the run, below the stability of the clusters the run splits into
+    (-inf: none), late whether it splits below ``merge_below``. Lighter ones hold their nodes.
+    left: (node, run, distance); closed: (run, run it is split from, chosen). New runs are numbered
+    from ``first``. The edges may come in any number of ascending calls; the results are the same.
     """
-    floor = 1e-4
-    order = np.argsort(w, kind="stable")
-    dist = np.concatenate([np.zeros(n), np.maximum(w[order], floor)])
-    left, right = np.full(n + len(order), -1), np.full(n + len(order), -1)
-    mass = np.concatenate([weight, np.zeros(len(order), weight.dtype)])
-    up, top = list(range(n)), list(range(n))
-    child = np.zeros(n + len(order), bool)
-    for t, (x, y) in enumerate(zip(a[order].tolist(), b[order].tolist(), strict=True), n):
+    up = list(range(len(parts)))
+    left: list[tuple] = []
+    closed: list[tuple] = []
+    for x, y, d in zip(a.tolist(), b.tolist(), np.maximum(w, FLOOR).tolist(), strict=True):
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
         while up[y] != y:
             up[y] = up[up[y]]
             y = up[y]
-        left[t], right[t] = top[x], top[y]
-        child[top[x]] = child[top[y]] = True
-        mass[t] = mass[top[x]] + mass[top[y]]
+        p, q = parts[x], parts[y]
+        if p[0] > q[0]:
+            p, q = q, p
+        mass, lam = p[0] + q[0], 1 / d
+        if mass < least:
+            grown = [mass, 0.0, -1, -np.inf, False, p[5] + q[5]]
+        elif q[0] < least:
+            left += ((s, first, d) for s in p[5] + q[5])
+            grown = [mass, mass * lam, first, -np.inf, False, []]
+            first += 1
+        elif p[0] < least:
+            left += ((s, q[2], d) for s in p[5])
+            grown = [mass, q[1] + p[0] * lam, *q[2:]]
+        else:
+            below = close(p, lam, first, closed) + close(q, lam, first, closed)
+            grown = [mass, mass * lam, first, below, lam > 1 / merge_below, []]
+            first += 1
         up[x] = y
-        top[y] = t
-    birth, parent, stability = [], [], []
+        parts[x], parts[y] = [], grown
+    root = np.array(up, np.int64)
+    while (root[root] != root).any():
+        root = root[root]
+    return root, left, closed
+
 
-    def open_cluster(lam: float, of: int) -> int:
-        birth.append(lam)
-        parent.append(of)
-        stability.append(0.0)
-        return len(birth) - 1
+def close(part: list, lam: float, by: int, closed: list[tuple]) -> float:
+    """End a part's run at its birth ``lam``, a split of the run ``by``: the larger of its stability and that of the clusters below."""
+    mass, area, run, below, late, _ = part
+    stability = area - mass * lam
+    closed.append((run, by, bool(late or stability >= below)))
+    return max(stability, below)
 
+
+def condense(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, weight: np.ndarray, least: int, merge_below: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, fall) of n nodes from a spanning forest's edges: the cluster chosen or -1, and the distance at which a node leaves it.
+
+    Single linkage of the forest is condensed: a split counts if both sides weigh ``least``,
+    otherwise the lighter side's nodes fall out of the cluster. Of nested clusters the more stable
+    are chosen (excess of mass), but none that was born below the distance ``merge_below``: its
+    ancestor stands for it. Nodes that fall out at more than ``merge_below`` belong to none.
+    """
+    order = np.argsort(w, kind="stable")
+    heavy = (weight >= least).tolist()
+    parts = [[m, m / FLOOR, i, -np.inf, False, []] if h else [m, 0.0, -1, -np.inf, False, [i]] for i, (m, h) in enumerate(zip(weight.astype(float).tolist(), heavy, strict=True))]
+    root, left, closed = climb(parts, a[order], b[order], w[order], least, merge_below, n)
+    left += ((i, i, FLOOR) for i, h in enumerate(heavy) if h)
+    for r in np.flatnonzero(root == np.arange(n)).tolist():
+        if parts[r][0] >= least:
+            close(parts[r], 0.0, -1, closed)
+    stands: dict[int, int] = {-1: -1}
+    for run, by, chosen in reversed(closed):  # clusters are closed after those they split into
+        stands[run] = stands[by] if stands[by] >= 0 else run if chosen else -1
     cluster, fall = np.full(n, -1), np.full(n, np.inf)
-    le, ri, di, ma = left.tolist(), right.tolist(), dist.tolist(), mass.tolist()
-
-    def leave(node: int, c: int, d: float) -> None:
-        stability[c] += ma[node] * (1 / max(d, floor) - birth[c])
-        stack = [node]
-        while stack:
-            s = stack.pop()
-            if s < n:
-                cluster[s], fall[s] = c, d
-            else:
-                stack += (le[s], ri[s])
-
-    for root in np.flatnonzero(~child).tolist():
-        if ma[root] < least:
-            continue
-        stack = [(root, open_cluster(0.0, -1))]
-        while stack:
-            node, c = stack.pop()
-            if node < n:
-                leave(node, c, floor)
-                continue
-            x, y, d = le[node], ri[node], di[node]
-            if ma[x] >= least and ma[y] >= least:
-                lam = 1 / d
-                stability[c] += ma[node] * (lam - birth[c])
-                stack += ((x, open_cluster(lam, c)), (y, open_cluster(lam, c)))
-            else:
-                for s in (x, y):
-                    if ma[s] >= least:
-                        stack.append((s, c))
-                    else:
-                        leave(s, c, d)
-    k = len(birth)
-    kids: list[list[int]] = [[] for _ in range(k)]
-    for c in range(k):
-        if parent[c] >= 0:
-            kids[parent[c]].append(c)
-    chosen = np.zeros(k, bool)
-    best = stability[:]
-    for c in range(k - 1, -1, -1):  # children are opened after their parents
-        below = sum(best[x] for x in kids[c])
-        late = any(birth[x] > 1 / merge_below for x in kids[c])
-        chosen[c] = not kids[c] or late or stability[c] >= below
-        best[c] = max(stability[c], below)
-    stands = np.full(k, -1)
-    for c in range(k):
-        p = parent[c]
-        stands[c] = stands[p] if p >= 0 and stands[p] >= 0 else c if chosen[c] else -1
-    # A node that falls out of a cluster's inside leaves the cluster itself at that distance.
-    out = np.where(cluster >= 0, stands[np.maximum(cluster, 0)], -1) if k else cluster
-    out = np.where(fall <= merge_below, out, -1)
-    return out, fall
+    for s, run, d in left:
+        # A node that falls out of a cluster's inside leaves the cluster itself at that distance.
+        cluster[s], fall[s] = stands[run], d
+    return np.where(fall <= merge_below, cluster, -1), fall
+
+
+PART = "mass double, area double, run bigint, below double, late boolean, members array<bigint>"
+
+
+def condense_in_bands(tree: DataFrame, weights: DataFrame, least: int, merge_below: float, limit: int) -> DataFrame:
+    """(node, c, fall) as of condense(), for a forest of any size: a task holds some ``limit`` edges and the parts they join.
+
+    The edges are cut into bands of ascending weight. One task climbs a band; the next band's edges
+    then join the parts this one left, which carry their areas, runs and light nodes along.
+    """
+    bands = -(-2 * tree.count() // limit)  # of half the limit: ranges are cut by a sample
+    rest = cut(tree.select("a", "b", "w", F.col("a").alias("oa"), F.col("b").alias("ob")).repartitionByRange(bands, "w", "oa", "ob").withColumn("band", F.spark_partition_id()))
+    heavy = F.col("weight") >= least
+    parts = cut(
+        weights.select(
+            "node", F.col("weight").cast("double").alias("mass"), F.when(heavy, F.col("weight") / FLOOR).otherwise(0.0).alias("area"),
+            F.when(heavy, -2 - F.monotonically_increasing_id()).otherwise(F.lit(-1)).cast("bigint").alias("run"), F.lit(-np.inf).alias("below"),
+            F.lit(False).alias("late"), F.when(heavy, F.expr("CAST(array() AS array<bigint>)")).otherwise(F.array("node")).alias("members"),
+        )
+    )
+    left = [cut(parts.where(F.col("mass") >= least).select("node", "run", F.lit(FLOOR).alias("fall")))]
+    closed: list[DataFrame] = []
+    columns = ["mass", "area", "run", "below", "late", "members"]
+    for band in range(bands):
+
+        def step(frames: Iterator[pd.DataFrame], band: int = band) -> Iterator[pd.DataFrame]:
+            got = [f for f in frames if len(f)]
+            if not got:
+                return
+            e = pd.concat(got, ignore_index=True)
+            is_part = e.kind.to_numpy() == "part"
+            held, e = e[is_part].sort_values("a"), e[~is_part].sort_values(["w", "oa", "ob"])
+            names = held.a.to_numpy()
+            state = [list(p) for p in zip(*(held[c].tolist() for c in columns[:5]), (list(m) for m in held.members), strict=True)]
+            root, out, ended = climb(state, np.searchsorted(names, e.a), np.searchsorted(names, e.b), e.w.to_numpy(), least, merge_below, (band + 1) << 32)
+            blank = {"a": 0, "b": 0, "w": 0.0, "mass": 0.0, "area": 0.0, "run": -1, "below": 0.0, "late": False}
+            for kind, rows in (
+                ("left", {"a": [x[0] for x in out], "run": [x[1] for x in out], "w": [x[2] for x in out]}),
+                ("closed", {"run": [x[0] for x in ended], "b": [x[1] for x in ended], "late": [x[2] for x in ended]}),
+                ("moved", {"a": names, "b": names[root]}),
+                ("part", {"a": names[(top := np.flatnonzero(root == np.arange(len(names))))], **{c: [state[r][k] for r in top] for k, c in enumerate(columns)}}),
+            ):
+                f = pd.DataFrame({"kind": kind, **rows})  # rows of any kind have all columns, filled with blanks
+                f = f.assign(**{c: v for c, v in blank.items() if c not in rows})
+                if "members" not in rows:
+                    f["members"] = [[]] * len(f)
+                if len(f):
+                    yield f[["kind", "a", "b", "w", *columns]]
+
+        now = rest.where(F.col("band") == band)
+        ends = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        edges = now.select(F.lit("edge").alias("kind"), "a", "b", "w", "oa", "ob")
+        zero = F.lit(0).cast("bigint")
+        joint = parts.join(ends, "node", "left_semi").select(F.lit("part").alias("kind"), F.col("node").alias("a"), zero.alias("b"), F.lit(0.0).alias("w"), zero.alias("oa"), zero.alias("ob"), *columns)
+        blanks = [F.lit(0.0).alias("mass"), F.lit(0.0).alias("area"), zero.alias("run"), F.lit(0.0).alias("below"), F.lit(False).alias("late"), F.expr("CAST(array() AS array<bigint>)").alias("members")]
+        done = cut(joint.unionByName(edges.select("*", *blanks)).repartition(1).mapInPandas(step, f"kind string, a bigint, b bigint, w double, {PART}"))
+        left.append(done.where("kind = 'left'").select(F.col("a").alias("node"), "run", F.col("w").alias("fall")))
+        closed.append(done.where("kind = 'closed'").select("run", F.col("b").alias("by"), F.col("late").alias("chosen")))
+        moved = done.where("kind = 'moved'").select(F.col("a").alias("node"), F.col("b").alias("root"))
+        grown = cut(parts.join(moved, "node", "left_anti").unionByName(done.where("kind = 'part'").select(F.col("a").alias("node"), *columns)))
+        later = rest.where(F.col("band") > band)
+        for end in ("a", "b"):
+            later = later.join(moved.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        later = cut(later)
+        discard(parts)
+        discard(rest)
+        parts, rest = grown, later
+    closed.append(parts.where(F.col("mass") >= least).select("run", F.lit(None).cast("bigint").alias("by"), (F.col("late") | (F.col("area") >= F.col("below"))).alias("chosen")))
+    runs = closed[0]
+    for f in closed[1:]:
+        runs = runs.unionByName(f)
+    # The topmost chosen cluster stands for those below: pointers jump to twice the height each time.
+    runs = cut(runs.select("run", "by", F.when(F.col("chosen"), F.col("run")).alias("c")))
+    while not runs.where("by IS NOT NULL").isEmpty():
+        above = runs.select(F.col("run").alias("by"), F.col("by").alias("higher"), F.col("c").alias("above"))
+        higher = cut(runs.join(above, "by", "left").select("run", F.col("higher").alias("by"), F.coalesce("above", "c").alias("c")))
+        discard(runs)
+        runs = higher
+    out = left[0]
+    for f in left[1:]:
+        out = out.unionByName(f)
+    return out.join(runs, "run").select("node", F.when(F.col("fall") <= merge_below, F.coalesce("c", F.lit(-1))).otherwise(F.lit(-1)).cast("bigint").alias("c"), "fall")
 
 
 def cluster_curves(
@@ -332,10 +405,9 @@ def cluster_curves(
     cluster. Copies of a curve are one node that weighs as many. Curves without a shape (NULL,
     empty, mean zero) are odd.
 
-    One task finishes the spanning tree and the hierarchy, for ``tree_limit`` edges and
-    ``hierarchy_limit`` nodes at most. Beyond these, distributed rounds contract the tree
-    first; the hierarchy then begins at the distance below which the lightest edges were contracted,
-    as long as that is within ``merge_below`` the same clusters come out.
+    One task finishes the spanning tree, for ``tree_limit`` edges at most; beyond these, distributed
+    rounds contract the tree first. The hierarchy is climbed in bands of ``hierarchy_limit`` edges at
+    most, a task each; the clusters are the same in one band or many.
     """
     require(df, id_column, curve)
     members = cut(shape_table(df, id_column, curve))
@@ -343,22 +415,8 @@ def cluster_curves(
     near = neighbours(nodes, k, rounds, cell, seed)
     tree = cut(spanning_tree(reachability_graph(near, k, samples), tree_limit))
     weights = members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"))
-    total = tree.count()
-    if total > hierarchy_limit:
-        eps = tree.agg(F.percentile_approx("w", 1 - hierarchy_limit / total, 10_000)).first()[0]
-        start = weights.select("node", F.col("node").alias("root"))
-        _, _, labels = contract(tree.where(F.col("w") <= eps), 0, start)
-        inside = tree.where(F.col("w") <= eps).select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.min("w").alias("w"))
-        labels = cut(labels.join(inside, "node", "left"))
-        top = tree.where(F.col("w") > eps)
-        for end in ("a", "b"):
-            top = top.join(labels.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end)
-        top = top.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "w")
-        heavy = labels.join(weights, "node").groupBy(F.col("root").alias("node")).agg(F.sum("weight").alias("weight"))
-    else:
-        labels, top, heavy = None, tree, weights
     # Nodes and edges in one stream to one task: nodes as (node, NULL, weight).
-    joint = top.select("a", "b", "w").unionByName(heavy.select(F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("weight").cast("double").alias("w")))
+    joint = tree.select("a", "b", "w").unionByName(weights.select(F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("weight").cast("double").alias("w")))
 
     def hierarchy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
@@ -371,16 +429,19 @@ def cluster_curves(
             names, mass = names[by], mass[by]
             a = np.searchsorted(names, e.a.to_numpy()[~is_node].astype(np.int64))
             b = np.searchsorted(names, e.b[~is_node].astype("int64").to_numpy())
-            c, fall = condense(len(names), a, b, e.w.to_numpy()[~is_node], mass, least, merge_below)
+            w = e.w.to_numpy()[~is_node]
+            order = np.lexsort((b, a, w))  # equal weights come in the order of their nodes, as in bands
+            c, fall = condense(len(names), a[order], b[order], w[order], mass, least, merge_below)
             yield pd.DataFrame({"node": names, "c": c, "fall": fall})
 
     # Node numbers are 64-bit: as text they pass through pandas without becoming floats.
     text = joint.select(F.col("a"), F.col("b").cast("string").alias("b"), "w")
-    found = text.repartition(1).mapInPandas(hierarchy, "node bigint, c bigint, fall double")
-    if labels is not None:
-        found = labels.join(found.withColumnRenamed("node", "root"), "root").select("node", "c", F.least("fall", F.coalesce("w", "fall")).alias("fall"))
+    if tree.count() > hierarchy_limit:
+        found = condense_in_bands(tree, weights, least, merge_below, hierarchy_limit)
+    else:
+        found = text.repartition(1).mapInPandas(hierarchy, "node bigint, c bigint, fall double")
     joined = members.select("id", "node").join(cut(found), "node", "left")
-    names = joined.where("c >= 0").groupBy("c").agg(F.min("id").alias("cluster"))
+    names = joined.where("c <> -1").groupBy("c").agg(F.min("id").alias("cluster"))
     return joined.join(F.broadcast(names) if names.count() <= 100_000 else names, "c", "left").select(
         F.col("id").alias(id_column), "cluster", F.when(F.col("cluster").isNotNull(), 1 / F.greatest("fall", F.lit(1e-4))).alias("persistence")
     )

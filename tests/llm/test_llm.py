@@ -183,6 +183,26 @@ def test_clusters(spark, limits):
         assert [tuple(r) for r in pairs_together(pairs, members).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("noise, least", [([0.1, 0.14], 1), ([0.06, 0.12], 5)])
+def test_clusters_in_bands(spark, noise, least):
+    """Kinds that split just above merge_below: the clusters don't depend on the number of tasks."""
+    rng, hour = np.random.default_rng(0), 2 * np.pi * np.arange(24) / 24
+    rows = [(i, [float(v) for v in 1 + 0.3 * (1 + 0.3 * (i % 2)) * np.cos((1 + i % 5) * hour) + rng.choice(noise) * rng.normal(size=24)]) for i in range(450)]
+    rows += [(450 + i, rows[i // 4][1]) for i in range(20)]  # copies, heavier than `least`
+    df = spark.createDataFrame(rows, "curve_id bigint, qe array<double>")
+    one, many = ({r.curve_id: (r.cluster, r.persistence) for r in cluster_curves(df, hierarchy_limit=n).collect()} for n in (400_000, 150))
+    assert len({c for c, _ in one.values()} - {None}) >= least and many == one
+
+
+def test_condense_carries_stability():
+    """Two kinds of 100 split at 0.25, their curves leave at 0.18: the parent is the more stable, however many calls it takes."""
+    a = np.concatenate([np.arange(99), 100 + np.arange(99), [0]])
+    b = np.concatenate([np.arange(1, 100), 100 + np.arange(1, 100), [100]])
+    w = np.concatenate([np.full(198, 0.18), [0.25]])
+    label, fall = condense(200, a, b, w, np.ones(200), 3, 0.2)
+    assert len(set(label.tolist())) == 1 and label[0] >= 0 and np.allclose(fall, 0.18)
+
+
 def test_clusters_of_few(spark):
     for rows in ([], [(1, [1.0] * 24)]):
         got = cluster_curves(spark.createDataFrame(rows, "curve_id bigint, qe array<double>")).collect()
