@@ -165,14 +165,25 @@ def regression_metrics(df: DataFrame, real: str, predicted: str, keys: list[str]
     return df.dropna(subset=[real, predicted]).groupBy(*(keys or [])).agg((-F.try_divide(e, F.avg(real))).alias("CVRMSE"), (-e).alias("RMSE"), F.pow(F.corr(real, predicted), 2).alias("R2"))
 
 
-def time_slices(df: DataFrame, keys: list[str], initial: int, horizon: int, skip: int, folds: int, time: str = "time", fixed: bool = False) -> DataFrame:
-    """Rows with (fold, part): fold k trains on the first initial + k * (skip + 1) rows of a series (the last ``initial`` of them if ``fixed``) and tests on the ``horizon`` after."""
+def time_slices(df: DataFrame, keys: list[str], initial: int, horizon: int, skip: int, folds: int | None = None, time: str = "time", fixed: bool = False) -> DataFrame:
+    """Rows with (fold, part): fold k trains on the first initial + k * (skip + 1) rows of a series (the last ``initial`` of them if ``fixed``) and tests on the ``horizon`` after.
+
+    Without ``folds`` a series has as many as there are whole horizons for, to its end.
+    """
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1
-    rows = df.withColumn("_n", n).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    rows = df.withColumn("_n", n)
+    step = F.lit(skip + 1)
+    if folds is None:
+        rows = rows.withColumn("_last", F.floor((F.count("*").over(Window.partitionBy(*keys)) - initial - horizon) / step))
+    else:
+        rows = rows.withColumn("_last", F.lit(folds - 1).cast("bigint"))
+    low = F.greatest(F.lit(0), F.floor((F.col("_n") - initial - horizon) / step) + 1)  # the first fold whose test has not ended before the row
+    high = F.least("_last", F.floor(F.col("_n") / step)) if fixed else F.col("_last")
+    rows = rows.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("fold", F.explode(F.sequence(F.col("_low").cast("int"), F.col("_high").cast("int"))))
     end = F.lit(initial) + F.col("fold") * (skip + 1)
     first = end - initial if fixed else F.lit(0)
     part = F.when((F.col("_n") >= first) & (F.col("_n") < end), "train").when((F.col("_n") >= end) & (F.col("_n") < end + horizon), "test")
-    return rows.withColumn("part", part).where("part IS NOT NULL").drop("_n")
+    return rows.withColumn("part", part).where("part IS NOT NULL").drop("_n", "_last", "_low", "_high")
 
 
 def prediction_intervals(df: DataFrame, keys: list[str], period: str, mean: str = "predicted", sigma: str = "sigma", how: str = "SUM", draws: int = 1000, floor: float | None = None, time: str = "time", tz: str = "UTC", seed: int = 1) -> DataFrame:

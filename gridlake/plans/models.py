@@ -110,7 +110,7 @@ def disruptive_period(spark, d):
 
 @query()
 def time_slices(spark, d):
-    return m.time_slices(hours(spark, d), K, 100, 24, 23, 3).groupBy("series_id", "fold", "part").agg(F.count("*").alias("n"))
+    return m.time_slices(hours(spark, d), K, 100, 24, 23).groupBy("series_id", "fold", "part").agg(F.count("*").alias("n"))
 
 
 @query()

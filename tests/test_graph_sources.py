@@ -1,6 +1,7 @@
 """Graph, sources, stores, sensors, indicators, models and streams on small cases."""
 
 import numpy as np
+import pytest
 from conftest import column
 from pyspark.sql import functions as F
 
@@ -87,6 +88,17 @@ def test_models(spark, series):
     assert [r["count"] for r in folds] == [10, 50, 10, 60, 10, 70]
 
 
+@pytest.mark.parametrize("fixed", [False, True])
+def test_time_slices_to_the_end(series, fixed):
+    df = series(range(203)).unionByName(series(range(75), name="b")).unionByName(series(range(59), name="short"))
+    want = []
+    for name, size in (("a", 203), ("b", 75)):
+        for k, end in enumerate(range(50, size - 10 + 1, 7)):
+            want += [(name, k, "train", i) for i in range(end - 50 if fixed else 0, end)] + [(name, k, "test", i) for i in range(end, end + 10)]
+    got = m.time_slices(df, K, 50, 10, 6, fixed=fixed).select("series_id", "fold", "part", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_profiles(spark, series):
     rng = np.random.default_rng(1)
     t = rng.uniform(-5, 35, 400)
