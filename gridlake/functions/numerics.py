@@ -121,6 +121,21 @@ def out_of_band_periodogram(ts: np.ndarray, taper: float = 0.1) -> float:
     return float(np.mean(np.abs(c - f) > band))
 
 
+def whole_day(curve: list | None, hours: int = 24) -> np.ndarray:
+    """A day's values at 24 hours: 23 or 25 are brought to 24 at the hour of the clock change, NULL hours interpolated around the clock. NaN without values."""
+    v = np.array([np.nan if x is None else x for x in ([] if curve is None else curve)], float)
+    if len(v) == hours - 1:
+        v = np.insert(v, 2, np.nan)
+    elif len(v) == hours + 1:
+        v = np.concatenate([v[:2], [np.nanmean(v[2:4]) if np.isfinite(v[2:4]).any() else np.nan], v[4:]])
+    elif len(v) != hours and len(v):
+        v = np.interp((np.arange(hours) + 0.5) / hours, (np.arange(len(v)) + 0.5) / len(v), v)
+    at = np.flatnonzero(np.isfinite(v))
+    if not len(at):
+        return np.full(hours, np.nan)
+    return v if len(at) == hours else np.interp(np.arange(hours), np.concatenate([at - hours, at, at + hours]), np.tile(v[at], 3))
+
+
 def spectral_clusters(affinity: np.ndarray, k: int, seed: int = 1, restarts: int = 20) -> np.ndarray:
     """Labels from the leading eigenvectors of the normalised affinity, by seeded k-means."""
     d = affinity.sum(1)

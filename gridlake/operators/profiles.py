@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.functions.numerics import density_valleys, eigengap, spectral_clusters, spline_slope
-from gridlake.runtime import require
+from gridlake.functions.numerics import density_valleys, eigengap, spectral_clusters, spline_slope, whole_day
+from gridlake.runtime import cut, require
 
 
 def load_curve_matrix(df: DataFrame, keys: list[str], tz: str, parts: int = 24, relative: bool = True, time: str = "time", value: str = "value") -> DataFrame:
@@ -54,13 +54,35 @@ def affinity(s: np.ndarray, n: int = 2) -> np.ndarray:
     return np.where(keep | keep.T, s, 0.0)
 
 
+def day_kinds(y: np.ndarray, neighbours: int, k_min: int, k_max: int) -> np.ndarray:
+    """Spectral cluster of each row: nearest-neighbour affinity, as many clusters as the largest gap of the Laplacian's eigenvalues says."""
+    a = affinity(similarity(y, 10.0), neighbours)
+    return spectral_clusters(a, min(eigengap(a, k_min, k_max), len(y) - 1))
+
+
+def joined_centres(c: np.ndarray, n: np.ndarray, copies: int, neighbours: int, k_min: int, k_max: int, block: int) -> np.ndarray:
+    """Centres of the clusters of centres ``c``, which stand for ``n`` days each; about ``copies`` of them for each kind of day."""
+    while len(c) > block:  # as for days: by blocks, whose centres are clustered again
+        parts = np.array_split(np.arange(len(c)), -(-len(c) // block))
+        label = np.concatenate([k * (k_max + 1) + day_kinds(c[p], neighbours, k_min, k_max) for k, p in enumerate(parts)])
+        c, n = _centres(c, n, label)
+        copies = len(parts)
+    return _centres(c, n, day_kinds(c, min(neighbours, max(2, copies - 1)), k_min, k_max))[0]
+
+
+def _centres(c: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds = [label == k for k in np.unique(label)]
+    return np.stack([np.average(c[k], axis=0, weights=n[k]) for k in kinds]), np.array([n[k].sum() for k in kinds])
+
+
 def cluster_days(df: DataFrame, group: str, id_column: str, curve: str, neighbours: int = 7, k_min: int = 2, k_max: int = 10, block: int = 512) -> DataFrame:
     """(group, id_column, block, cluster): spectral clusters of each building's daily curves.
 
     Similarity, nearest-neighbour affinity, the number of clusters at the largest gap of the
-    Laplacian's eigenvalues, spectral clustering. The eigenproblem is cubic in its days, so a
-    building with over ``block`` days is clustered by blocks (every day is in one). For one
-    clustering of any number of curves use the density clustering.
+    Laplacian's eigenvalues, spectral clustering. Days of 23 or 25 hours and NULL hours are brought
+    to 24 hours. The eigenproblem is cubic in its days, so a building with over ``block`` days is
+    clustered by blocks; the blocks' centres are clustered once more, and each day takes the nearest
+    of the centres so found: a label means the same in all blocks of a building.
     """
     require(df, group, id_column, curve)
     kind, gkind = df.schema[id_column].dataType.simpleString(), df.schema[group].dataType.simpleString()
@@ -68,17 +90,37 @@ def cluster_days(df: DataFrame, group: str, id_column: str, curve: str, neighbou
     rows = df.join(size, group).withColumn("block", F.pmod(F.xxhash64(id_column), F.col("_n")).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([np.array([np.nan if v is None else v for v in c][:24] + [np.nan] * max(0, 24 - len(c)), float) if c is not None else np.full(24, np.nan) for c in pdf[curve]])
+        x = np.array([whole_day(c) for c in pdf[curve]])
         ok = np.isfinite(x).all(1) & (np.nan_to_num(x).sum(1) != 0)
         label = pd.Series([None] * len(pdf), dtype=object)
+        shape = pd.Series([None] * len(pdf), dtype=object)
+        y = x[ok] / x[ok].sum(1, keepdims=True)
+        one = pdf["_n"].iloc[0] == 1
         if ok.sum() > k_min + 1:
-            y = x[ok] / x[ok].sum(1, keepdims=True)
-            a = affinity(similarity(y, 10.0), neighbours)
-            k = min(eigengap(a, k_min, k_max), int(ok.sum()) - 1)
-            label[np.flatnonzero(ok)] = [f"{v + 1:02d}" for v in spectral_clusters(a, k)]
-        return pd.DataFrame({group: pdf[group], id_column: pdf[id_column], "block": pdf["block"], "cluster": label.to_numpy()})
-
-    return rows.groupBy(group, "block").applyInPandas(run, f"`{group}` {gkind}, `{id_column}` {kind}, block int, cluster string")
+            label[np.flatnonzero(ok)] = [f"{v + 1:02d}" for v in day_kinds(y, neighbours, k_min, k_max)]
+        elif not one:  # too few to cluster here: each is a centre of its own
+            label[np.flatnonzero(ok)] = [f"{v + 1:02d}" for v in range(len(y))]
+        if not one:
+            shape[np.flatnonzero(ok)] = list(y)
+        return pd.DataFrame({group: pdf[group], id_column: pdf[id_column], "block": pdf["block"], "cluster": label.to_numpy(), "_n": pdf["_n"], "_shape": shape.to_numpy()})
+
+    schema = f"`{group}` {gkind}, `{id_column}` {kind}, block int, cluster string"
+    got = cut(rows.groupBy(group, "block").applyInPandas(run, f"{schema}, _n bigint, _shape array<double>"))
+    mean = F.array(*[F.avg(F.element_at("_shape", k + 1)) for k in range(24)])
+    parts = got.where("_shape IS NOT NULL").groupBy(group, "block", "cluster", "_n").agg(mean.alias("_c"), F.count("*").cast("double").alias("_days"))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "cluster"])
+        if len(pdf) <= k_min + 1:
+            return pd.DataFrame({group: pdf[group].iloc[:0], "_centres": pd.Series([], dtype=object)})
+        c = joined_centres(np.stack(pdf["_c"].to_list()), pdf["_days"].to_numpy(), int(pdf["_n"].iloc[0]), neighbours, k_min, k_max, block)
+        return pd.DataFrame({group: pdf[group].iloc[:1], "_centres": [[v.tolist() for v in c]]})
+
+    centres = parts.groupBy(group).applyInPandas(join, f"`{group}` {gkind}, _centres array<array<double>>")
+    far = lambda c: F.aggregate(F.zip_with("_shape", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+    best = F.array_min(F.transform("_centres", lambda c, i: F.struct(far(c).alias("d"), (i + 1).alias("k"))))["k"]
+    name = F.when(F.col("_n") == 1, F.col("cluster")).when(F.col("_shape").isNotNull(), F.lpad(best.cast("string"), 2, "0"))
+    return got.join(centres, group, "left").select(group, id_column, "block", name.alias("cluster"))
 
 
 def change_points(df: DataFrame, keys: list[str], tz: str, temperature: str = "temperature", value: str = "value", time: str = "time", points: int = 40) -> DataFrame:

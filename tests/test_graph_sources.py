@@ -99,6 +99,29 @@ def test_time_slices_to_the_end(series, fixed):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_cluster_days_of_any_length_and_number(spark):
+    """Days of 23 and 25 hours and with NULL hours are clustered; kinds keep their label beyond a block of days."""
+    rng, hour = np.random.default_rng(3), np.arange(24)
+    base = [1 + 2 * np.exp(-0.5 * ((hour - at) / 2) ** 2) for at in (6, 13, 20)]
+    rows, kind = [], {}
+    for g, n in (("large", 390), ("small", 60)):
+        for _ in range(n):
+            i = len(rows)
+            q = [float(v) for v in base[i % 3] * (1 + 0.02 * rng.normal(size=24))]
+            if i % 20 == 3:
+                q = q[:2] + q[3:]
+            if i % 20 == 7:
+                q = q[:3] + q[2:]
+            if i % 20 == 11:
+                q[int(rng.integers(24))] = None
+            kind[i] = (g, i % 3)
+            rows.append((g, i, q))
+    rows += [("large", 1000, None), ("large", 1001, [None] * 24), ("small", 1002, [0.0] * 24)]
+    got = {r.i: (r.g, r.cluster) for r in pf.cluster_days(spark.createDataFrame(rows, "g string, i bigint, q array<double>"), "g", "i", "q", block=100).collect()}
+    assert len(got) == len(rows) and all(got[i][1] is None for i in (1000, 1001, 1002))
+    assert len({(k, got[i]) for i, k in kind.items()}) == 6 and len({got[i] for i in kind}) == 6 and None not in {got[i][1] for i in kind}
+
+
 def test_profiles(spark, series):
     rng = np.random.default_rng(1)
     t = rng.uniform(-5, 35, 400)
