@@ -19,7 +19,7 @@ from gridlake.runtime import require
 # Characters that scanning confuses, all read as the last of their group.
 CONFUSED = ["0o", "1|!il", "5s", "8b", "9gq", "6b", "2z"]
 MATCH, MISS, SKIP = 4, -10, -1  # a word alike, a word changed or left out, a word of the document in between
-SEED, COMMON = 5, 8  # words of a seed at least; places a seed may have in the items at most to be followed
+SEED = 5  # words of a seed at least
 
 
 @cache
@@ -63,14 +63,14 @@ class Automaton:
         self.size = np.array([len(p) for p in ids], np.int64)
         self.of = np.repeat(np.arange(len(ids)), [len(p) + gap for p in ids])
         nxt: list[dict[int, int]] = [{}]
-        link, length, ends = [-1], [0], [-1]
+        link, length, prefix = [-1], [0], []
         last = 0
-        for at, w in enumerate(self.text.tolist()):
+        for w in self.text.tolist():
             cur = len(nxt)
             nxt.append({})
             length.append(length[last] + 1)
             link.append(0)
-            ends.append(at)
+            prefix.append(cur)
             p = last
             while p >= 0 and w not in nxt[p]:
                 nxt[p][w] = cur
@@ -84,33 +84,33 @@ class Automaton:
                     nxt.append(dict(nxt[q]))
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    ends.append(-1)
                     while p >= 0 and nxt[p].get(w) == q:
                         nxt[p][w] = clone
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
         self.next, self.link, self.length = nxt, link, length
-        places: list[list[int] | None] = [[e] if e >= 0 else [] for e in ends]
-        for s in sorted(range(1, len(nxt)), key=lambda s: -length[s]):
-            up = link[s]
-            if places[up] is None or places[s] is None or len(places[up]) + len(places[s]) > COMMON:
-                places[up] = None
-            else:
-                places[up] = places[up] + places[s]
-        places[0] = None
-        self.places = places
+        # The state of the last SEED words (of all texts that end like them); every place belongs to one.
+        seed = [-1] * len(nxt)
+        for s in sorted(range(1, len(nxt)), key=lambda s: length[s]):
+            if length[s] >= SEED:
+                seed[s] = s if length[link[s]] < SEED else seed[link[s]]
+        self.seed = seed
+        of_place = np.array(seed, np.int64)[np.array(prefix, np.int64)]
+        self.places = np.argsort(of_place, kind="stable")
+        self.first = np.searchsorted(of_place[self.places], np.arange(len(nxt) + 1))
 
-    def seeds(self, words: list[int]) -> Iterator[tuple[int, int]]:
-        """(word of the text, word of the passages) at the ends of the longest matches of SEED words or more."""
-        nxt, link, length, places = self.next, self.link, self.length, self.places
+    def ends(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(word of the text, state of its seed, word after) wherever a match of SEED words or more ends at some place of the state."""
+        nxt, link, length, seed = self.next, self.link, self.length, self.seed
         s = n = 0
         for i, w in enumerate(words):
+            if n >= SEED:
+                u = seed[s]
+                if w not in nxt[u] or len(nxt[u]) > 1:
+                    yield i - 1, u, w
             t = nxt[s].get(w)
             if t is None:
-                if n >= SEED and places[s]:
-                    for e in places[s]:
-                        yield i - 1, e
                 while t is None and s:
                     s = link[s]
                     t = nxt[s].get(w)
@@ -120,9 +120,22 @@ class Automaton:
                     continue
             s = t
             n += 1
-        if n >= SEED and places[s]:
-            for e in places[s]:
-                yield len(words) - 1, e
+        if n >= SEED:
+            yield len(words) - 1, seed[s], -(1 << 30)
+
+    def spread(self, where: np.ndarray, state: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``where``, word of the passages): every place of the states at which the passage goes on differently."""
+        size = self.first[state + 1] - self.first[state]
+        row = np.repeat(np.arange(len(where)), size)
+        place = self.places[self.first[state][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)]
+        ends = self.text[place + 1] != after[row]
+        return row[ends], place[ends]
+
+    def seeds(self, words: list[int]) -> Iterator[tuple[int, int]]:
+        """(word of the text, word of the passages) at the ends of all matches of SEED words or more that no word can be added to."""
+        for i, u, w in self.ends(words):
+            for e in self.spread(np.array([i]), np.array([u]), np.array([w]))[1].tolist():
+                yield i, e
 
 
 def candidates(auto: Automaton, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,25 +145,32 @@ def candidates(auto: Automaton, words: Words) -> tuple[np.ndarray, np.ndarray, n
         return none, none, none
     at = np.minimum(np.searchsorted(auto.words, words.hash), len(auto.words) - 1)
     ids = np.where(auto.words[at] == words.hash, at, -(1 << 30))
-    found = [(d + i, e, k) for k in range(len(words.begin) - 1) for d in (int(words.begin[k]),) for i, e in auto.seeds(ids[d : words.begin[k + 1]].tolist())]
+    found = [(d + i, u, w, k) for k in range(len(words.begin) - 1) for d in (int(words.begin[k]),) for i, u, w in auto.ends(ids[d : words.begin[k + 1]].tolist())]
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
-    where, place, text = np.array(found, np.int64).T
+    ends, state, after, texts = np.array(found, np.int64).T
     width = 20
-    good = np.zeros(len(where), bool)
     padded = np.concatenate([np.full(64, -(1 << 29)), ids, np.full(64, -(1 << 29))]).astype(np.int32)
     passage = np.concatenate([np.full(64, -(1 << 28)), auto.text, np.full(64, -(1 << 28))]).astype(np.int32)
-    for a in range(0, len(where), 20_000):
-        w, p = where[a : a + 20_000] + 64, place[a : a + 20_000] + 64
-        span = np.arange(-33, 34)
-        target = passage[p[:, None] + span]
-        near = np.zeros(target.shape, bool)
-        for shift in range(-2, 3):
-            near |= padded[w[:, None] + span + shift] == target
-        sums = np.cumsum(np.concatenate([np.zeros((len(w), 1), np.int16), near.astype(np.int16)], axis=1), axis=1, dtype=np.int16)
-        good[a : a + 20_000] = (sums[:, width:] - sums[:, :-width]).max(axis=1) >= 17
-    where, place, text = where[good], place[good], text[good]
+    kept = []
+    # Some 20,000 places at once, or those of one end.
+    load = np.cumsum(auto.first[state + 1] - auto.first[state]) // 20_000
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(load)) + 1, [len(ends)]])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        row, places = auto.spread(ends[a:b], state[a:b], after[a:b])
+        for c in range(0, len(row), 20_000):
+            r, q = row[c : c + 20_000] + a, places[c : c + 20_000]
+            w, p = ends[r] + 64, q + 64
+            span = np.arange(-33, 34)
+            target = passage[p[:, None] + span]
+            near = np.zeros(target.shape, bool)
+            for shift in range(-2, 3):
+                near |= padded[w[:, None] + span + shift] == target
+            sums = np.cumsum(np.concatenate([np.zeros((len(w), 1), np.int16), near.astype(np.int16)], axis=1), axis=1, dtype=np.int16)
+            good = (sums[:, width:] - sums[:, :-width]).max(axis=1) >= 17
+            kept.append(np.stack([ends[r], q, texts[r]])[:, good])
+    where, place, text = np.concatenate([np.zeros((3, 0), np.int64), *kept], axis=1)
     of = auto.of[place]
     shift = where - words.begin[text] - (place - auto.begin[of])  # where the passage would begin in the text
     key = np.unique(np.stack([text, of, shift // 24], axis=1), axis=0)
@@ -219,13 +239,13 @@ def find_leaks(
 ) -> DataFrame:
     """(id_column, item_id, words, alike): the documents that hold a passage or ``running`` words of it.
 
-    The items are a suffix automaton over folded words; each document streams through it, and the
-    longest matches that few places of the items share open candidates. A candidate is aligned:
+    The items are a suffix automaton over folded words; each document streams through it, and at
+    every place of the items a match of SEED words or more opens a candidate where it ends, if 17 of
+    20 words around it agree. A candidate is aligned:
     words changed or left out and page breaks in between are allowed for. It is a leak if the
     aligned part spans at least ``running`` words of the passage (or all of a shorter passage) and
     scores at least ``score`` for each of these: MATCH for a word alike, MISS for one changed or
-    left out. Two formulaic sentences that happen to follow each other score less. Sentences that many items have in common
-    open no candidate by themselves. Items with the same passage are all reported.
+    left out. Two formulaic sentences that happen to follow each other score less. Items with the same passage are all reported.
 
     The items come to the driver, in blocks of ``block_words``; test sets are small, and more than
     one block only makes more passes. NULL or empty texts and passages match nothing. Rows with
