@@ -33,8 +33,8 @@ def flag_faults(
     * impossible: outside ``bounds`` of the field.
     * stuck: in a run of ``stuck`` or more successive readings without any wavelet detail, that is of
       the same value, repeated deliveries counting once; missing cells and other faults inside don't
-      end a run. A run of zeros in a relative field is the building's habit if the source has other
-      such runs and this one isn't over twice as long.
+      end a run. A run of zeros in a relative field is the building's habit if half of its hours or
+      more were zero too a week before or after, or on half of the days around.
     * spike: the hourly series (of a ``relative`` field its logarithm) is decomposed with the
       undecimated Haar wavelet; details of the two finest scales beyond ``sigmas`` robust deviations
       of the source open a candidate. Candidates are confirmed if they leave, by ``jump`` at least
@@ -129,7 +129,7 @@ def judge_field(s: np.ndarray, h: np.ndarray, v: np.ndarray, bound: tuple[float,
                 down &= np.isnan(m) | (m - x > jump)
         enough = ~(np.isnan(before) & np.isnan(after) & np.isnan(around)) & ((~np.isnan(before)).astype(int) + ~np.isnan(after) + ~np.isnan(around) > 1)
         spike[open_] = (up | down) & enough
-    runs = _stuck(w, group, spike, stuck, zero_is_habit=relative)
+    runs = _stuck(w, group, t, spike, stuck, zero_is_habit=relative)
     code = np.where(runs, 2, np.where(spike, 3, 0)).astype(np.int8)
     fault[use] = code[of]
     return fault
@@ -173,7 +173,7 @@ def _median(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stuck(w: np.ndarray, group: np.ndarray, spike: np.ndarray, least: int, zero_is_habit: bool) -> np.ndarray:
+def _stuck(w: np.ndarray, group: np.ndarray, t: np.ndarray, spike: np.ndarray, least: int, zero_is_habit: bool) -> np.ndarray:
     """TRUE in runs of the same value of at least ``least``; spikes inside a run are passed over."""
     keep = np.flatnonzero(~spike)
     out = np.zeros(len(w), bool)
@@ -186,10 +186,22 @@ def _stuck(w: np.ndarray, group: np.ndarray, spike: np.ndarray, least: int, zero
     if zero_is_habit:
         zero = v[begin] == 0
         for r in np.flatnonzero(long & zero):
-            others = size[zero & (g[begin] == g[begin[r]]) & (np.arange(len(size)) != r)]
-            if len(others) and size[r] <= 2 * np.max(others):
-                long[r] = False
+            long[r] = not _recurs(w, group, t, keep[begin[r] : begin[r] + size[r]])
     out[keep] = np.repeat(long, size)
     return out
 
 
+def _recurs(w: np.ndarray, group: np.ndarray, t: np.ndarray, run: np.ndarray) -> bool:
+    """Whether the hours of a run of zeros are mostly zero outside it too, at the same hour of the week or of the days around."""
+    lo, hi = np.searchsorted(group, group[run[0]]), np.searchsorted(group, group[run[0]], "right")
+    known, zero, week = np.zeros(len(run), int), np.zeros(len(run), int), np.zeros(len(run), bool)
+    for k in (k for k in range(-max(DAYS, 7), max(DAYS, 7) + 1) if k):
+        at = t[run] + 24 * k
+        i = lo + np.minimum(np.searchsorted(t[lo:hi], at), hi - lo - 1)
+        there = (t[i] == at) & ((at < t[run[0]]) | (at > t[run[-1]]))
+        if abs(k) == 7:
+            week |= there & (w[i] == 0)
+        if abs(k) <= DAYS:
+            known += there
+            zero += there & (w[i] == 0)
+    return bool(np.mean(week | ((known > 0) & (2 * zero >= known))) >= 0.5)

@@ -189,3 +189,17 @@ def test_faults_edge_cases(spark):
         if r[4].hour < 11:
             r[5] = 0.0  # draws nothing every night
     assert faults(spark, night) == {}
+
+
+def test_outages_at_zero_do_not_excuse_each_other(spark):
+    rows = reading_rows(24 * 40)
+    for r in rows:
+        r[5] = max(r[5], 0.5)
+    off = {*range(200, 248), *range(500, 560)}
+    for i in off:
+        rows[i][5] = 0.0
+    assert faults(spark, rows) == {(i + 1, "qe"): "stuck" for i in off}
+    weekends = reading_rows(24 * 40, 1)
+    for r in weekends:
+        r[5] = 0.0 if r[4].weekday() >= 5 else max(r[5], 0.5)
+    assert faults(spark, weekends) == {}
