@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm.clusters import cluster_curves, describe_clusters, pairs_together
-from gridlake.llm.leaks import find_leaks
+from gridlake.llm.leaks import find_leaks, remove_leaks
 from gridlake.llm.percentiles import merge_counts, percentiles, value_counts
 from gridlake.llm.repetition import repetition_report
 from gridlake.llm.tokens import encode_corpus
@@ -69,6 +69,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p8_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_members, p2_clusters, p4_building, p4_usetype, p4_month, p4_combined, p7_ids, p8_found, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p2_found, p2_members, p2_clusters, p4_building, p4_usetype, p4_month, p4_combined, p7_ids, p8_found, p8_removed, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,21 +5,25 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gridlake.llm.words import Words, code_points, run_hashes, slices
+from gridlake.llm.words import Words, code_points, gram_hashes, run_hashes, slices
 from gridlake.runtime import require
 
 # Characters that scanning confuses, all read as the last of their group.
 CONFUSED = ["0o", "1|!il", "5s", "8b", "9gq", "6b", "2z"]
 MATCH, MISS, SKIP = 4, -10, -1  # a word alike, a word changed or left out, a word of the document in between
+FAR = 40  # words in between cost this at most
 SEED = 5  # words of a seed at least
+BREAK = re.compile(r"(?<=\w)[-‐\u00ad]\s*\n\s*(?=\w)")  # a hyphen at a line's end
 
 
 @cache
@@ -39,7 +43,7 @@ def folded() -> tuple[np.ndarray, np.ndarray]:
 
 def folded_words(texts: list[str]) -> Words:
     """Words in a form that layout, case, accents, ligatures, line-end hyphens and misread characters don't change."""
-    plain = [re.sub(r"(?<=\w)[-‐­]\s*\n\s*(?=\w)", "", t) if "-\n" in t or "-\r" in t or "- " in t or "‐" in t or "­" in t else t for t in texts]
+    plain = [BREAK.sub("", t) if "-\n" in t or "-\r" in t or "- " in t or "‐" in t or "\u00ad" in t else t for t in texts]
     codes, first = code_points([unicodedata.normalize("NFKD", t).casefold() for t in plain])
     kind, reading = folded()
     k = kind[codes]
@@ -96,6 +100,8 @@ class Automaton:
             if length[s] >= SEED:
                 seed[s] = s if length[link[s]] < SEED else seed[link[s]]
         self.seed = seed
+        code, whole = gram_hashes(Words(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.uint64), np.cumsum([0] + [len(p) for p in ids])), SEED)
+        self.grams = np.unique(code[whole])
         of_place = np.array(seed, np.int64)[np.array(prefix, np.int64)]
         self.places = np.argsort(of_place, kind="stable")
         self.first = np.searchsorted(of_place[self.places], np.arange(len(nxt) + 1))
@@ -123,6 +129,18 @@ class Automaton:
         if n >= SEED:
             yield len(words) - 1, seed[s], -(1 << 30)
 
+    def stretches(self, ids: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, word after the last) of the stretches whose every SEED words stand in the passages: all that the automaton need read."""
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        maybe = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED) if len(ids) >= SEED else np.zeros(0, np.int64)
+        code, whole = gram_hashes(Words(ids.astype(np.uint64), words.begin), SEED)
+        maybe = maybe[whole[maybe]]
+        at = np.minimum(np.searchsorted(self.grams, code[maybe]), max(len(self.grams) - 1, 0))
+        hit = maybe[self.grams[at] == code[maybe]] if len(self.grams) else maybe[:0]
+        begin = np.concatenate([[True], np.diff(hit) != 1]) if len(hit) else np.zeros(0, bool)
+        # Neighbouring stretches of two texts aren't joined: the last SEED - 1 words of a text begin none.
+        return hit[begin], hit[np.append(begin[1:], True)] + SEED if len(hit) else hit
+
     def spread(self, where: np.ndarray, state: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in ``where``, word of the passages): every place of the states at which the passage goes on differently."""
         size = self.first[state + 1] - self.first[state]
@@ -131,28 +149,27 @@ class Automaton:
         ends = self.text[place + 1] != after[row]
         return row[ends], place[ends]
 
-    def seeds(self, words: list[int]) -> Iterator[tuple[int, int]]:
-        """(word of the text, word of the passages) at the ends of all matches of SEED words or more that no word can be added to."""
-        for i, u, w in self.ends(words):
-            for e in self.spread(np.array([i]), np.array([u]), np.array([w]))[1].tolist():
-                yield i, e
 
+def candidates(auto: Automaton, words: Words, page_break: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, passage, least shift, largest shift) worth aligning; a shift is where in the text the passage would begin.
 
-def candidates(auto: Automaton, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, passage, shift) worth aligning: 17 of some 20 passage words around a seed stand about where they should."""
+    17 of some 20 passage words around a seed stand about where they should. Seeds of one passage
+    whose shifts follow each other by ``page_break`` words at most are one candidate.
+    """
+    none = np.zeros(0, np.int64)
     if not len(auto.words) or not len(words.hash):
-        none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     at = np.minimum(np.searchsorted(auto.words, words.hash), len(auto.words) - 1)
     ids = np.where(auto.words[at] == words.hash, at, -(1 << 30))
-    found = [(d + i, u, w, k) for k in range(len(words.begin) - 1) for d in (int(words.begin[k]),) for i, u, w in auto.ends(ids[d : words.begin[k + 1]].tolist())]
+    found = [(d + i, u, w if w >= 0 else int(ids[z]) if z < len(ids) else w) for d, z in zip(*(x.tolist() for x in auto.stretches(ids, words)), strict=True) for i, u, w in auto.ends(ids[d:z].tolist())]
     if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    ends, state, after, texts = np.array(found, np.int64).T
+        return none, none, none, none
+    ends, state, after = np.array(found, np.int64).T
+    texts = np.searchsorted(words.begin, ends, "right") - 1
     width = 20
     padded = np.concatenate([np.full(64, -(1 << 29)), ids, np.full(64, -(1 << 29))]).astype(np.int32)
     passage = np.concatenate([np.full(64, -(1 << 28)), auto.text, np.full(64, -(1 << 28))]).astype(np.int32)
+    around_text, around_passage = np.lib.stride_tricks.sliding_window_view(padded, 71), np.lib.stride_tricks.sliding_window_view(passage, 67)
     kept = []
     # Some 20,000 places at once, or those of one end.
     load = np.cumsum(auto.first[state + 1] - auto.first[state]) // 20_000
@@ -162,70 +179,130 @@ def candidates(auto: Automaton, words: Words) -> tuple[np.ndarray, np.ndarray, n
         for c in range(0, len(row), 20_000):
             r, q = row[c : c + 20_000] + a, places[c : c + 20_000]
             w, p = ends[r] + 64, q + 64
-            span = np.arange(-33, 34)
-            target = passage[p[:, None] + span]
-            near = np.zeros(target.shape, bool)
-            for shift in range(-2, 3):
-                near |= padded[w[:, None] + span + shift] == target
-            sums = np.cumsum(np.concatenate([np.zeros((len(w), 1), np.int16), near.astype(np.int16)], axis=1), axis=1, dtype=np.int16)
+            target, here = around_passage[p - 33], around_text[w - 35]
+            near = here[:, 2:69] == target
+            for shift in (0, 1, 3, 4):
+                near |= here[:, shift : shift + 67] == target
+            sums = np.zeros((len(w), 68), np.int8)
+            np.cumsum(near, axis=1, dtype=np.int8, out=sums[:, 1:])
             good = (sums[:, width:] - sums[:, :-width]).max(axis=1) >= 17
             kept.append(np.stack([ends[r], q, texts[r]])[:, good])
     where, place, text = np.concatenate([np.zeros((3, 0), np.int64), *kept], axis=1)
     of = auto.of[place]
-    shift = where - words.begin[text] - (place - auto.begin[of])  # where the passage would begin in the text
-    key = np.unique(np.stack([text, of, shift // 24], axis=1), axis=0)
-    return key[:, 0], key[:, 1], key[:, 2] * 24
+    shift = where - words.begin[text] - (place - auto.begin[of])
+    order = np.lexsort((shift, of, text))
+    text, of, shift = text[order], of[order], shift[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (of[1:] != of[:-1]) | (shift[1:] - shift[:-1] > page_break)
+    last = np.append(new[1:], True)[: len(new)]
+    return text[new], of[new], shift[new], shift[last]
+
 
+def align(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Best local alignment of each passage near its places in a text: rows (score, passage words spanned, words alike, first word of the text, last).
 
-def align(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """Best local alignment of each passage near its place in a text: rows (score, passage words spanned, words alike)."""
+    Words of the text in between cost SKIP each and FAR at most, so a page break of any length
+    costs the same; other changes cost MISS.
+    """
+    out = np.zeros((len(text), 5), np.int64)
     if not len(text):
-        return np.zeros((0, 3), np.int64)
+        return out
     at = np.minimum(np.searchsorted(auto.words, words.hash), max(len(auto.words) - 1, 0))
     ids = np.append(np.where(auto.words[at] == words.hash, at, -(1 << 30)), -(1 << 30))
-    out = np.zeros((len(text), 3), np.int64)
-    order = np.argsort(auto.size[of], kind="stable")
-    for a in range(0, len(order), 512):
-        pick = order[a : a + 512]
-        rows = int(auto.size[of[pick]].max())
-        cols = rows + 24 + 72
-        doc_at = shift[pick, None] - 24 + np.arange(cols) + words.begin[text[pick], None]
+    columns = auto.size[of] + 96 + high - low
+    order = np.lexsort((columns, auto.size[of]))
+    a = 0
+    while a < len(order):
+        # As many at once as some two million cells hold.
+        b = a + 1
+        while b < len(order) and b - a < 512 and (b - a + 1) * columns[order[a : b + 1]].max() <= 2_000_000:
+            b += 1
+        pick = order[a:b]
+        a = b
+        rows, cols = int(auto.size[of[pick]].max()), int(columns[pick].max())
+        doc_at = low[pick, None] - 24 + np.arange(cols) + words.begin[text[pick], None]
         inside = (doc_at >= words.begin[text[pick], None]) & (doc_at < words.begin[text[pick] + 1, None])
         doc = np.where(inside, ids[np.clip(doc_at, 0, len(ids) - 1)], -(1 << 30)).astype(np.int32)
-        j = np.arange(cols + 1, dtype=np.int32)
+        shift = (cols + 1).bit_length()
+        mask = (1 << shift) - 1
+        wide = np.int32 if (MATCH * rows + 2 * cols + FAR + 2) << shift < 1 << 31 else np.int64
+        j = np.arange(cols + 1, dtype=wide)
+        i = np.arange(len(pick))
         score = np.zeros((len(pick), cols + 1), np.int32)
-        start = np.zeros_like(score)
+        origin = np.zeros(score.shape, wide)  # passage word and column where the alignment begins
         alike = np.zeros_like(score)
-        best = np.zeros((len(pick), 3), np.int64)
+        best = np.zeros((len(pick), 5), np.int64)
         for r in range(rows):
             live = r < auto.size[of[pick]]
             word = auto.text[np.minimum(auto.begin[of[pick]] + r, len(auto.text) - 1)].astype(np.int32)
             same = doc == word[:, None]
             diagonal = score[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISS))
-            above = score + MISS
-            new, new_start, new_alike = above.copy(), start.copy(), alike.copy()
+            new, new_origin, new_alike = score + np.int32(MISS), origin.copy(), alike.copy()
             take = diagonal >= new[:, 1:]
-            new[:, 1:] = np.where(take, diagonal, new[:, 1:])
             fresh = score[:, :-1] == 0
-            new_start[:, 1:] = np.where(take, np.where(fresh, np.int32(r), start[:, :-1]), new_start[:, 1:])
+            new[:, 1:] = np.where(take, diagonal, new[:, 1:])
+            new_origin[:, 1:] = np.where(take, np.where(fresh, wide(r << shift) + j[:-1], origin[:, :-1]), new_origin[:, 1:])
             new_alike[:, 1:] = np.where(take, np.where(fresh, np.int32(0), alike[:, :-1]) + same, new_alike[:, 1:])
             new = np.maximum(new, 0)
-            reach = np.maximum.accumulate((new - SKIP * j) * 4096 + j, axis=1)
-            from_ = reach & 4095
-            over = (reach >> 12) + SKIP * j
+            # Value and place of the best to the left in one number each: near ones by distance, far ones at FAR.
+            near = np.maximum.accumulate(((new - SKIP * j) << shift) + j, axis=1)
+            far = np.maximum.accumulate((new.astype(wide) << shift) + j, axis=1)
+            by_near, by_far = (near >> shift) + SKIP * j, (far >> shift) - FAR
+            over = np.maximum(by_near, by_far)
             better = over > new
-            new = np.where(better, over, new)
-            new_start = np.where(better, np.take_along_axis(new_start, from_, 1), new_start)
-            new_alike = np.where(better, np.take_along_axis(new_alike, from_, 1), new_alike)
-            score, start, alike = new, new_start, new_alike
+            if better.any():
+                from_ = np.where(by_near >= by_far, near, far) & mask
+                new = np.where(better, over, new).astype(np.int32)
+                new_origin = np.where(better, np.take_along_axis(new_origin, from_, 1), new_origin)
+                new_alike = np.where(better, np.take_along_axis(new_alike, from_, 1), new_alike)
+            score, origin, alike = new, new_origin, new_alike
             top = score.argmax(axis=1)
-            i = np.arange(len(pick))
             more = live & (score[i, top] > best[:, 0])
-            best[more] = np.stack([score[i, top], r - start[i, top] + 1, alike[i, top]], axis=1)[more]
+            if more.any():
+                o = origin[i, top]
+                best[more] = np.stack([score[i, top], r - (o >> shift) + 1, alike[i, top], o & mask, top - 1], axis=1)[more]
+        best[:, 3:] += low[pick, None] - 24
         out[pick] = best
     return out
 
 
+def _blocks(items: DataFrame, item_id: str, passage: str, block_words: int) -> Iterator[tuple[list[np.ndarray], list[list]]]:
+    """(passages, the items of each) in blocks of ``block_words``; equal passages are one, whatever their layout."""
+    by_passage: dict[bytes, list] = {}
+    for r in items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(item_id, passage).toLocalIterator():
+        words = folded_words([r[1]]).hash
+        if len(words):
+            by_passage.setdefault(words.tobytes(), []).append(r[0])
+    passages, names, total = [], [], 0
+    for key, ids in by_passage.items():
+        if total and total + len(key) // 8 > block_words:
+            yield passages, names
+            passages, names, total = [], [], 0
+        passages.append(np.frombuffer(key, np.uint64))
+        names.append(ids)
+        total += len(key) // 8
+    if passages:
+        yield passages, names
+
+
+def _per_text(rows: DataFrame, passages: list[np.ndarray], names: list[list], limits: tuple, schema: str, make: Callable) -> DataFrame:
+    """``make`` (texts, ids, leaks_in() of them, names) of slices of the rows (id, text); a block of passages is broadcast once."""
+    sent, mark = rows.sparkSession.sparkContext.broadcast((passages, names)), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages, names = sent.value
+        auto = _automaton(mark, passages)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices([len(t or "") for t in texts]):
+                part = [t or "" for t in texts[a:b]]
+                out = make(batch.slice(a, b - a), part, leaks_in(auto, part, *limits), names)
+                if out is not None:
+                    yield out
+
+    return rows.mapInArrow(run, schema)
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -235,77 +312,153 @@ def find_leaks(
     passage: str = "passage",
     running: int = 30,
     score: float = 3.2,
+    page_break: int = 200,
     block_words: int = 2_000_000,
 ) -> DataFrame:
-    """(id_column, item_id, words, alike): the documents that hold a passage or ``running`` words of it.
-
-    The items are a suffix automaton over folded words; each document streams through it, and at
-    every place of the items a match of SEED words or more opens a candidate where it ends, if 17 of
-    20 words around it agree. A candidate is aligned:
-    words changed or left out and page breaks in between are allowed for. It is a leak if the
-    aligned part spans at least ``running`` words of the passage (or all of a shorter passage) and
-    scores at least ``score`` for each of these: MATCH for a word alike, MISS for one changed or
-    left out. Two formulaic sentences that happen to follow each other score less. Items with the same passage are all reported.
-
-    The items come to the driver, in blocks of ``block_words``; test sets are small, and more than
-    one block only makes more passes. NULL or empty texts and passages match nothing. Rows with
-    the same ids are rows of their own; equal (document, item) pairs of one row come once.
+    """(id_column, item_id, words, alike, coverage): the documents that hold a passage or ``running`` words of it.
+
+    The items are a suffix automaton over folded words. Stretches of a document whose every SEED
+    words stand in the items stream through it; at every place of the items a match of SEED words
+    or more opens a candidate where it ends, if 17 of 20 words around it agree. A candidate is
+    aligned: words changed or left out and page breaks of up to ``page_break`` words in between are
+    allowed for. It is a leak if the aligned part spans at least ``running`` words of the passage
+    (or all of a shorter passage) and scores at least ``score`` for each of these: MATCH for a word
+    alike, MISS for one changed or left out. Two formulaic sentences that happen to follow each
+    other score less. Items with the same passage are all reported; coverage is the share of the
+    passage that the aligned part spans.
+
+    Passages and texts may have any length and any number of passages may be alike. The items come
+    to the driver as word hashes and are broadcast in blocks of ``block_words`` (16 MB); test sets
+    are small, and more than one block only makes more passes. NULL or empty texts and passages
+    match nothing. Rows with the same ids are rows of their own; equal (document, item) pairs of
+    one row come once.
     """
     require(docs, id_column, text)
     require(items, item_id, passage)
-    by_passage: dict[bytes, list] = {}
-    content: dict[bytes, np.ndarray] = {}
-    for r in items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(item_id, passage).toLocalIterator():
-        words = folded_words([r[1]]).hash
-        if len(words):
-            by_passage.setdefault(words.tobytes(), []).append(r[0])
-            content[words.tobytes()] = words
-    keys = list(by_passage)
-    blocks: list[list[bytes]] = [[]]
-    total = 0
-    for k in keys:
-        if total and total + len(content[k]) > block_words:
-            blocks.append([])
-            total = 0
-        blocks[-1].append(k)
-        total += len(content[k])
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    kind, item_kind = docs.schema[id_column].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    out = None
-    for block in blocks:
-        passages, names, mark = [content[k] for k in block], [by_passage[k] for k in block], uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], passages: list = passages, names: list = names, mark: str = mark) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(mark, passages)
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                ids = batch.column("id").to_pylist()
-                for a, b in slices([len(t) for t in texts]):
-                    got = leaks_in(auto, texts[a:b], running, score)
-                    flat = [(ids[a + t], n, int(w), int(s)) for t, p, w, s in got for n in names[p]]
-                    if flat:
-                        yield pa.RecordBatch.from_pydict({"id": [x[0] for x in flat], "item": [x[1] for x in flat], "words": [x[2] for x in flat], "alike": [x[3] for x in flat]}, schema=pa.schema([("id", batch.schema.field("id").type), ("item", _arrow(item_kind)), ("words", pa.int32()), ("alike", pa.int32())]))
-
-        part = rows.mapInArrow(run, f"id {kind}, item {item_kind}, words int, alike int")
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("id").alias(id_column), F.col("item").alias(item_id), "words", "alike")
-
-
-def leaks_in(auto: Automaton, texts: list[str], running: int, score: float) -> list[tuple[int, int, int, int]]:
-    """(text, passage, words, alike) of the texts' leaks, each pair once."""
+    kind, item_kind = docs.schema[id_column].dataType.simpleString(), items.schema[item_id].dataType
+    item_arrow = to_arrow_type(item_kind)
+
+    def make(batch: pa.RecordBatch, texts: list[str], leaks: list[Leak], names: list[list]) -> pa.RecordBatch | None:
+        flat = [(x, n) for x in leaks for n in names[x.passage]]
+        if not flat:
+            return None
+        at = pa.array([x.text for x, _ in flat])
+        columns = [batch.column("id").take(at), pa.array([n for _, n in flat], item_arrow), pa.array([x.words for x, _ in flat], pa.int32()), pa.array([x.alike for x, _ in flat], pa.int32()), pa.array([x.coverage for x, _ in flat])]
+        return pa.RecordBatch.from_arrays(columns, ["id", "item", "words", "alike", "coverage"])
+
+    schema = f"id {kind}, item {item_kind.simpleString()}, words int, alike int, coverage double"
+    out = rows.sparkSession.createDataFrame([], schema)
+    for k, (passages, names) in enumerate(_blocks(items, item_id, passage, block_words)):
+        part = _per_text(rows, passages, names, (running, score, page_break), schema, make)
+        out = out.unionByName(part) if k else part
+    return out.select(F.col("id").alias(id_column), F.col("item").alias(item_id), "words", "alike", "coverage")
+
+
+def remove_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    passage: str = "passage",
+    running: int = 30,
+    coverage: float = 1.0,
+    score: float = 3.2,
+    page_break: int = 200,
+    block_words: int = 2_000_000,
+) -> DataFrame:
+    """(id_column, text, spans, removed_words): every row with the leaked spans cut out of its text.
+
+    A span is what find_leaks() aligned; it is cut if it spans at least ``running`` words of the
+    passage or the share ``coverage`` of it. Overlapping spans are one. A line feed stands for each.
+    Texts without leak come as they are, NULL as NULL, with no spans.
+    """
+    require(docs, id_column, text)
+    require(items, item_id, passage)
+    kind = docs.schema[id_column].dataType.simpleString()
+    schema = f"id {kind}, text string, spans int, removed int"
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.lit(0).alias("spans"), F.lit(0).alias("removed"))
+
+    def make(batch: pa.RecordBatch, texts: list[str], leaks: list[Leak], names: list[list]) -> pa.RecordBatch:
+        clean, spans, removed = (batch.column(c).to_pylist() for c in ("text", "spans", "removed"))
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        for x in leaks:
+            if x.words >= running or x.coverage >= coverage:
+                cuts.setdefault(x.text, []).append((x.first, x.last))
+        for d, found in cuts.items():
+            begin, end = word_places(texts[d])
+            merged: list[list[int]] = []
+            for a, z in sorted(found):
+                if merged and a <= merged[-1][1] + 1:
+                    merged[-1][1] = max(merged[-1][1], z)
+                else:
+                    merged.append([a, z])
+            keep, at = [], 0
+            for a, z in merged:
+                keep.append(texts[d][at : begin[a]])
+                at = end[z]
+            clean[d] = "\n".join([*keep, texts[d][at:]])
+            spans[d] += len(merged)
+            removed[d] += sum(z - a + 1 for a, z in merged)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(clean, pa.string()), pa.array(spans, pa.int32()), pa.array(removed, pa.int32())], ["id", "text", "spans", "removed"])
+
+    for passages, names in _blocks(items, item_id, passage, block_words):
+        rows = _per_text(rows, passages, names, (running, score, page_break, True), schema, make)
+    return rows.select(F.col("id").alias(id_column), F.col("text").alias(text), "spans", F.col("removed").alias("removed_words"))
+
+
+def word_places(text: str) -> tuple[list[int], list[int]]:
+    """Where the folded words of a text begin and end in it, in code points."""
+    dropped = np.zeros(len(text), bool)
+    for m in BREAK.finditer(text):
+        dropped[m.start() : m.end()] = True
+    forms = {c: unicodedata.normalize("NFKD", c).casefold() for c in set(text)}
+    owner, folded_text = [], []
+    for i, c in enumerate(text):
+        if not dropped[i]:
+            folded_text.append(forms[c])
+            owner += [i] * len(forms[c])
+    codes = np.frombuffer("".join(folded_text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = folded()[0][codes]
+    at = np.array(owner, np.int64)[k != 2]
+    edge = np.diff(np.concatenate([[0], (k[k != 2] == 1).view(np.int8), [0]]))
+    return at[np.flatnonzero(edge == 1)].tolist(), (at[np.flatnonzero(edge == -1) - 1] + 1).tolist()
+
+
+@dataclass(frozen=True)
+class Leak:
+    text: int
+    passage: int
+    words: int  # of the passage, spanned by the aligned part
+    alike: int
+    coverage: float
+    first: int  # words of the text
+    last: int
+
+
+def leaks_in(auto: Automaton, texts: list[str], running: int, score: float, page_break: int, every: bool = False) -> list[Leak]:
+    """The texts' leaks: the best of each text and passage; with ``every`` all places, found by blanking those found and looking again."""
     words = folded_words(texts)
-    text, of, shift = candidates(auto, words)
-    got = align(auto, words, text, of, shift)
-    need = np.minimum(running, auto.size[of])
-    leak = (got[:, 1] >= need) & (got[:, 0] >= score * need)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for t, p, (_, w, s) in zip(text[leak].tolist(), of[leak].tolist(), got[leak].tolist(), strict=True):
-        best[t, p] = max(best.get((t, p), (0, 0)), (w, s))
-    return [(t, p, w, s) for (t, p), (w, s) in best.items()]
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    out: list[Leak] = []
+    names = np.arange(len(texts))
+    while True:
+        text, of, low, high = candidates(auto, words, page_break)
+        got = align(auto, words, text, of, low, high)
+        need = np.minimum(running, auto.size[of])
+        leak = (got[:, 1] >= need) & (got[:, 0] >= score * need)
+        best: dict[tuple[int, int], Leak] = {}
+        for t, p, (_, w, s, a, z) in zip(text[leak].tolist(), of[leak].tolist(), got[leak].tolist(), strict=True):
+            if (t, p) not in best or (best[t, p].words, best[t, p].alike) < (w, s):
+                best[t, p] = Leak(t, p, w, s, w / int(auto.size[p]), a, z)
+        out += [replace(x, text=int(names[x.text])) for x in best.values()]
+        if not every or not best:
+            return out
+        for x in best.values():
+            words.hash[words.begin[x.text] + x.first : words.begin[x.text] + x.last + 1] = 0
+        again = np.unique([x.text for x in best.values()])
+        hashes = [words.hash[words.begin[t] : words.begin[t + 1]] for t in again]
+        words, names = Words(np.concatenate(hashes), np.cumsum([0] + [len(h) for h in hashes])), names[again]
 
 
 _BUILT: dict[str, Automaton] = {}

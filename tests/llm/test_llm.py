@@ -149,11 +149,44 @@ def test_leaks_of_a_run_that_many_passages_share(spark):
     assert len({i for d, i in got if d == 3}) in (0, 12)  # judged by the alignment alone, alike for all
 
 
-def test_seeds_are_longest_matches():
-    p = words_of([" ".join(passage(1)), " ".join(passage(2))])
-    auto = lk.Automaton([p.hash[:60], p.hash[60:]])
-    ids = np.searchsorted(auto.words, p.hash[10:30]).tolist()
-    assert list(auto.seeds(ids)) == [(19, 29)]
+@pytest.mark.parametrize("n", [9, 12, 30])
+def test_leaks_of_passages_nearly_alike(spark, n):
+    base = passage(7, 70)
+    items = [(i, " ".join([*base[:35], f"only{i}", *base[36:]])) for i in range(n)]
+    got = lk.find_leaks(spark.createDataFrame([(1, " ".join([*passage(60, 80), *base, *passage(61, 80)]))], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string"))
+    assert {r.item_id for r in got.collect()} == set(range(n))
+
+
+def test_leaks_of_very_long_passages_and_page_breaks(spark):
+    long, p = passage(8, 6000), passage(9, 40)
+    docs = [(1, " ".join([*passage(60, 50), *long, *passage(61, 50)]))]
+    docs += [(2 + k, " ".join([*passage(62, 50), *p[:20], *passage(70 + k, gap), *p[20:], *passage(63, 50)])) for k, gap in enumerate((40, 80, 150, 400))]
+    items = spark.createDataFrame([(10, " ".join(long)), (11, " ".join(p))], "item_id bigint, passage string")
+    got = {(r.doc_id, r.item_id): r for r in lk.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert set(got) == {(1, 10), (2, 11), (3, 11), (4, 11)} and got[1, 10].words == 6000 and got[1, 10].coverage == 1
+
+
+def test_leaked_spans_are_removed(spark):
+    p = passage(1)
+    shown = "ﬁn— " + " ".join(passage(50, 20)) + ". "
+    body = ", ".join(w.upper() for w in p[:30]) + " tu-\nrast" + " " + " ".join(p[30:])
+    docs = [(1, shown + body + "; " + shown + body + "!"), (2, shown), (3, None), (4, "")]
+    for block in (2_000_000, 50):
+        got = {r.doc_id: r for r in lk.remove_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(9, " ".join(p)), (8, " ".join(passage(2)))], "item_id bigint, passage string"), block_words=block).collect()}
+        assert got[1].text == shown + "\n; " + shown + "\n!" and (got[1].spans, got[1].removed_words) == (2, 122)
+        assert [(got[i].text, got[i].spans) for i in (2, 3, 4)] == [(shown, 0), (None, 0), ("", 0)]
+
+
+def test_stretches_and_ends_equal_a_walk_over_all_words():
+    rnd = random.Random(3)
+    passages = [words_of([" ".join(rnd.choice(WORDS[:6]) for _ in range(40))]).hash for _ in range(5)]
+    auto = lk.Automaton(passages)
+    words = words_of([" ".join(rnd.choice(WORDS[:7]) for _ in range(rnd.randrange(0, 90))) for _ in range(20)])
+    at = np.minimum(np.searchsorted(auto.words, words.hash), len(auto.words) - 1)
+    ids = np.where(auto.words[at] == words.hash, at, -(1 << 30))
+    every = [(a + i, u) for a, z in zip(words.begin[:-1], words.begin[1:], strict=True) for i, u, _ in auto.ends(ids[a:z].tolist())]
+    some = [(a + i, u) for a, z in zip(*auto.stretches(ids, words), strict=True) for i, u, _ in auto.ends(ids[a:z].tolist())]
+    assert every and every == some
 
 
 def curve_rows(kinds=4, each=60, odd=5, seed=0):
