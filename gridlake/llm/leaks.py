@@ -41,14 +41,24 @@ def folded() -> tuple[np.ndarray, np.ndarray]:
     return kind, reading
 
 
+def kinds(codes: np.ndarray) -> np.ndarray:
+    """Class of each code point; an exclamation mark is a misread letter only inside a word."""
+    k = folded()[0][codes]
+    mark = np.flatnonzero(codes == 33)
+    if len(mark):
+        k[mark] = 0
+        beside = np.concatenate([[0], k, [0]])
+        k[mark[(beside[mark] == 1) & (beside[mark + 2] == 1)]] = 1
+    return k
+
+
 def folded_words(texts: list[str]) -> Words:
     """Words in a form that layout, case, accents, ligatures, line-end hyphens and misread characters don't change."""
     plain = [BREAK.sub("", t) if "-\n" in t or "-\r" in t or "- " in t or "‐" in t or "\u00ad" in t else t for t in texts]
     codes, first = code_points([unicodedata.normalize("NFKD", t).casefold() for t in plain])
-    kind, reading = folded()
-    k = kind[codes]
+    k = kinds(codes)
     keep = k != 2
-    codes, first = reading[codes[keep]], np.concatenate([[0], np.cumsum(keep)])[first]
+    codes, first = folded()[1][codes[keep]], np.concatenate([[0], np.cumsum(keep)])[first]
     inside = k[keep] == 1
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -420,7 +430,7 @@ def word_places(text: str) -> tuple[list[int], list[int]]:
             folded_text.append(forms[c])
             owner += [i] * len(forms[c])
     codes = np.frombuffer("".join(folded_text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    k = folded()[0][codes]
+    k = kinds(codes)
     at = np.array(owner, np.int64)[k != 2]
     edge = np.diff(np.concatenate([[0], (k[k != 2] == 1).view(np.int8), [0]]))
     return at[np.flatnonzero(edge == 1)].tolist(), (at[np.flatnonzero(edge == -1) - 1] + 1).tolist()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.words import Words, gram_hashes, slices, words_of
-from gridlake.runtime import cut, require
+from gridlake.runtime import BROADCAST_GROUPS, cut, require
 
 
 def repeated_words(words: Words, n: int) -> np.ndarray:
@@ -70,28 +70,33 @@ def _longest(words: Words, hit: np.ndarray) -> np.ndarray:
 
 
 def repetition_report(df: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source", n: int = 5, limit: float = 1 / 3, stretch: int = 50) -> DataFrame:
-    """repetition_shares() with the verdicts of the document's rules and of its host.
+    """repetition_shares() with the verdicts of the document's host and its own.
 
     Rules: ``share`` over ``limit``; a repeated stretch of over ``stretch`` words. Failures are
     counted per host; a host's rates are shrunk towards the mean of all hosts by a beta prior whose
     strength is estimated from the hosts by moments, and joined back as host_rate and
-    host_stretch_rate, with host_documents. Rows without a host get the prior mean. repetitive is
-    the document's own verdict: a host's rate can't tell which of its documents repeat themselves.
+    host_stretch_rate, with host_documents and host_verdict: 'repetitive' if the shrunk rate of the
+    first rule is a half or more, 'clean' if none of its documents fails it, else 'mixed'. Documents
+    without a host are a host of their own, which the prior leaves out.
+
+    repetitive: the host isn't clean and the document itself fails the first rule. A rate can't tell
+    which of a host's documents repeat themselves, so the exact share has the last word.
     """
-    stats = cut(repetition_shares(df, id_column, text, host, n)).withColumns({"fails": F.col("share") > limit, "fails_stretch": F.col("longest") > stretch})
-    count = lambda c: F.sum(F.col(c).cast("double"))
-    hosts = stats.where("host IS NOT NULL").groupBy("host").agg(F.count("*").cast("double").alias("n"), count("fails").alias("k"), count("fails_stretch").alias("k2"))
+    stats = cut(repetition_shares(df, id_column, text, host, n))
+    count = lambda c: F.sum(c.cast("double"))
+    hosts = stats.groupBy("host").agg(F.count("*").cast("double").alias("n"), count(F.col("share") > limit).alias("k"), count(F.col("longest") > stretch).alias("k2"))
+    named = lambda c: F.when(F.col("host").isNotNull(), c)
     prior = hosts.agg(*[F.struct(
-        (F.sum(k) / F.sum("n")).alias("mean"), F.coalesce(F.var_samp(F.col(k) / F.col("n")), F.lit(0.0)).alias("var"),
+        F.coalesce(F.try_divide(F.sum(named(F.col(k))), F.sum(named(F.col("n")))), F.lit(0.0)).alias("mean"), F.coalesce(F.var_samp(named(F.col(k) / F.col("n"))), F.lit(0.0)).alias("var"),
     ).alias("p" + k) for k in ("k", "k2")])
     strength = lambda p: F.when(F.col(p)["var"] > 0, F.greatest(F.lit(1.0), F.col(p)["mean"] * (1 - F.col(p)["mean"]) / F.col(p)["var"] - 1)).otherwise(F.lit(1e6))
     rate = lambda k: (F.col(k) + strength("p" + k) * F.col("p" + k)["mean"]) / (F.col("n") + strength("p" + k))
-    rates = hosts.crossJoin(F.broadcast(prior)).select("host", F.col("n").cast("bigint").alias("host_documents"), rate("k").alias("host_rate"), rate("k2").alias("host_stretch_rate"))
-    means = prior.select(F.col("pk")["mean"].alias("m"), F.col("pk2")["mean"].alias("m2"))
-    joined = stats.join(rates, "host", "left").crossJoin(F.broadcast(means))
+    rates = cut(hosts.crossJoin(F.broadcast(prior)).select(
+        F.col("host").alias("_h"), F.col("n").cast("bigint").alias("host_documents"), rate("k").alias("host_rate"), rate("k2").alias("host_stretch_rate"),
+        F.when(F.col("k") == 0, "clean").when(rate("k") >= 0.5, "repetitive").otherwise("mixed").alias("host_verdict"),
+    ))
+    joined = stats.join(F.broadcast(rates) if rates.count() <= BROADCAST_GROUPS else rates, F.col("host").eqNullSafe(F.col("_h")))
     return joined.select(
-        F.col("id").alias(id_column), F.col("host").alias(host), "words", "repeated", "share", "longest",
-        F.coalesce("host_documents", F.lit(0)).alias("host_documents"),
-        F.coalesce("host_rate", "m").alias("host_rate"), F.coalesce("host_stretch_rate", "m2").alias("host_stretch_rate"),
-        F.col("fails").alias("repetitive"),
+        F.col("id").alias(id_column), F.col("host").alias(host), "words", "repeated", "share", "longest", "host_documents", "host_rate", "host_stretch_rate", "host_verdict",
+        ((F.col("host_verdict") != "clean") & (F.col("share") > limit)).alias("repetitive"),
     )
