@@ -1,20 +1,23 @@
 """Timestamps in mixed notations and zones to one instant in UTC.
 
-Each value may be read in several ways. A mixture of notations is fitted per source by
+Each value may be read in several ways. A mixture of readings is fitted per source and notation by
 expectation-maximisation: every reading a value admits has a likelihood (how long before its
-delivery the instant would lie), the source's notation shares are re-estimated from the
-posteriors, and the most probable reading wins. Only readings of day and month can compete; they
-are reduced to counts per source and log-likelihood bin before the iterations, so these touch a
-few numbers per source and never the rows.
+delivery the instant would lie), the shares of the readings are re-estimated from the posteriors,
+and the most probable reading wins. The convention of day and month is the prior of the shares,
+with the weight of so many lines. Values are reduced to counts per source, notation and
+likelihoods before the iterations, so these touch a few numbers per source and never the rows.
 """
 
 from __future__ import annotations
 
 import zoneinfo
 from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlake.runtime import BROADCAST_GROUPS, cut, require
+
 # Offsets in minutes of the zone abbreviations loggers write.
 ABBREVIATIONS = {
     "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120,
@@ -40,6 +43,7 @@ NOTATIONS = {
     "dotted": (r"^(\d{1,2})[.\-](\d{1,2})[.\-](\d{4}|\d{2})\s+" + _TIME + _OFF, "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
     "slashed": (r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})\s+" + _TIME + _OFF, "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
 }
+TWO_WAYS = ("slashed", "dotted")  # notations whose day and month may be either way round
 EXACT = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\+00:00$"
 
 
@@ -81,7 +85,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _parsed(text: Column) -> Column:
-    """Struct of the ways ``text`` can be read: mdy, dmy (slashed dates), one (all else), off, badzone, abs, family.
+    """Struct of the ways ``text`` can be read: mdy, dmy (TWO_WAYS), one (all else), off, badzone, abs, family.
 
     Wall clocks are microseconds as if in UTC. Nothing matches: all are NULL. One regular
     expression rewrites a notation to fields in a common order; the rest is arithmetic.
@@ -134,9 +138,9 @@ def _parsed(text: Column) -> Column:
         return F.struct(
             fam.alias("family"), x["abs"].alias("abs"), x["off"].alias("off"),
             F.coalesce(x["zoned"] & x["off"].isNull(), F.lit(False)).alias("badzone"),
-            F.when(fam == "slashed", at(date(d, m))).alias("mdy"),
-            F.when(fam == "slashed", at(date(m, d))).alias("dmy"),
-            F.when(fam == "week", at(week)).when(fam == "ordinal", at(ordinal)).when(~fam.isin("slashed", "epoch"), at(date(m, d))).alias("one"),
+            F.when(fam.isin(*TWO_WAYS), at(date(d, m))).alias("mdy"),
+            F.when(fam.isin(*TWO_WAYS), at(date(m, d))).alias("dmy"),
+            F.when(fam == "week", at(week)).when(fam == "ordinal", at(ordinal)).when(~fam.isin("epoch", *TWO_WAYS), at(date(m, d))).alias("one"),
         )
 
     return _let(clean, lambda v: _let(split(v), lambda f: _let(numbers(f), ways)))
@@ -151,6 +155,34 @@ def readings(df: DataFrame, text: str) -> DataFrame:
     return df.select("*", F.inline(F.array(_parsed(F.col(text)))).alias(*["_" + n for n in names]))
 
 
+def _shares(bins: Column, prior: tuple[float, float], strength: float, rounds: int) -> Column:
+    """Struct (other, none) of the shares after ``rounds`` of expectation-maximisation over bins (usual, other, n) of log-likelihoods."""
+    total = F.aggregate(bins, F.lit(0.0), lambda acc, b: acc + b["n"])
+    start = F.struct(F.lit(prior[0]).alias("other"), F.lit(prior[1]).alias("none"))
+
+    def expect(p: Column) -> Column:
+        def add(acc: Column, b: Column) -> Column:
+            post = _posterior(b["usual"], b["other"], p)
+            return F.struct((acc["other"] + b["n"] * post["other"]).alias("other"), (acc["none"] + b["n"] * post["none"]).alias("none"))
+
+        return F.aggregate(bins, F.struct(F.lit(0.0).alias("other"), F.lit(0.0).alias("none")), add)
+
+    def step(p: Column, _: Column) -> Column:
+        return _let(expect(p), lambda e: F.struct(((strength * prior[0] + e["other"]) / (strength + total)).alias("other"), ((strength * prior[1] + e["none"]) / (strength + total)).alias("none")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+
+
+def _posterior(usual: Column, other: Column, share: Column) -> Column:
+    """Struct (usual, other, none) of the readings' probabilities, given log-likelihoods (NULL: impossible) and shares.
+
+    That a value denotes nothing competes only where its usual reading is impossible.
+    """
+    lik = lambda x: F.coalesce(F.exp(x.cast("double")), F.lit(0.0))
+    parts = F.struct(((1 - share["other"] - share["none"]) * lik(usual)).alias("u"), (share["other"] * lik(other)).alias("o"), F.when(usual.isNull(), share["none"]).otherwise(0.0).alias("n"))
+    return _let(parts, lambda w: F.struct(*[F.try_divide(w[k], w["u"] + w["o"] + w["n"]).alias(n) for k, n in (("u", "usual"), ("o", "other"), ("n", "none"))]))
+
+
 def normalise_timestamps(
     df: DataFrame,
     zones: DataFrame,
@@ -159,57 +191,67 @@ def normalise_timestamps(
     received: str | None = "received_ts",
     rounds: int = 12,
     doubt: float = 0.01,
+    prior: tuple[float, float] = (1e-4, 1e-2),
+    strength: float = 1000.0,
 ) -> DataFrame:
     """Add utc_us, notation, posterior, ambiguous and exact to every row.
 
     ``zones``: (source, zone) of source_zones(). utc_us is NULL where the text denotes no instant
     (NULL, empty, words, impossible dates, a date without time). Without zone information the text
     is wall-clock time in the source's zone, UTC where there is none; an hour that occurs twice is
-    the first one, a skipped one is read with the offset before the change. ``posterior`` is the
-    probability of the reading taken under the source's fitted notation mixture; ``ambiguous``
-    marks rows whose other reading keeps more than ``doubt``. The convention that slashed dates
-    begin with the month in the Americas and with the day elsewhere is the prior of the mixture,
-    and as the last step it decides: where the mixture prefers the other reading, the row is marked. Extra columns are kept; rows
-    with a NULL source are read in UTC.
+    the first one, a skipped one is read with the offset before the change.
+
+    Dates of day and month in numbers have two readings. The usual one begins with the month in
+    dates with slashes of sources in the Americas, else with the day. A value takes the reading
+    (usual, other, or none: it denotes nothing) of the highest posterior under the shares of its
+    source and notation; ``prior`` are the shares of 'other' and 'none' before any data, which weigh
+    as much as ``strength`` lines. A reading's likelihood falls with the days until its delivery as
+    (1 + days) ** -1.5, and is e ** -5 if it lies more than a day after its delivery. So a line alone
+    never overturns the convention, a date that the usual reading makes impossible denotes nothing,
+    but some seven lines of a source that can't have been delivered before they were measured turn
+    the source's notation around. ``posterior`` is the probability of the reading taken;
+    ``ambiguous`` marks rows with two possible instants whose posterior is under 1 - ``doubt``.
+
+    Extra columns are kept; rows with a NULL source are read in UTC, with the prior shares. The parse
+    is written once to the shared folder and read for the fit and for the result.
     """
+    require(df, text, source, *([received] if received else []))
     own = list(df.columns)
-    rows = readings(df.select(F.struct(*own).alias("_row"), F.col(text).alias("_text"), F.col(source).alias("_source"), (F.col(received) if received else F.lit(None).cast("timestamp")).alias("_received")), "_text")
-    seen = F.unix_micros(F.col("_received").cast("timestamp"))
-    # Log-likelihood of a delivery so long after the instant: exponential in days, a day ahead is allowed for zones.
-    day = 86_400_000_000.0
-    fit = lambda w: F.when(seen.isNull(), F.lit(0.0)).when(w > seen + day, F.lit(-30.0)).otherwise(-F.least(F.lit(30.0), (seen - w) / day))
-    llr = F.when(F.col("_dmy").isNull(), 60.0).when(F.col("_mdy").isNull(), -60.0).otherwise(fit(F.col("_mdy")) - fit(F.col("_dmy")))
-    llr = F.when(F.coalesce("_mdy", "_dmy").isNotNull(), F.round(llr, 0).cast("int"))
-    rows = rows.select("*", F.explode(F.array(llr)).alias("_llr"))
+    rows = readings(df.select(F.struct(*own).alias("_row"), F.col(text).alias("_text"), F.col(source).alias("_source"), (F.col(received) if received else F.lit(None)).cast("timestamp").alias("_received")), "_text")
+    info = zones.select(F.col("source").alias("_source"), "zone", F.col("zone").rlike(AMERICAS).alias("_us"))
+    rows = cut(rows.select("_row", "_source", "_family", "_abs", "_off", "_badzone", "_mdy", "_dmy", "_one", F.unix_micros("_received").alias("_seen"), F.coalesce(F.col("_text").rlike(EXACT), F.lit(False)).alias("_exact")))
+    info = cut(info.where("_source IS NOT NULL"))
+
+    def known(left: DataFrame, right: DataFrame) -> DataFrame:
+        """left with the columns of its source: a row per source, sent to all tasks only up to a size."""
+        return left.join(F.broadcast(right) if right.count() <= BROADCAST_GROUPS else right, "_source", "left")
+
+    def with_likelihoods(two: DataFrame) -> DataFrame:
+        us = (F.col("_family") == "slashed") & F.coalesce("_us", F.lit(False))
+        days = lambda w: (F.col("_seen") - w) / 86_400_000_000.0
+        fit = lambda w: F.when(w.isNull(), F.lit(None)).when(days(w) < -1, -5).otherwise(F.coalesce(F.round(-1.5 * F.log1p(F.greatest(days(w), F.lit(0.0)))), F.lit(0.0))).cast("int")
+        two = two.withColumns({"_usual": F.when(us, F.col("_mdy")).otherwise(F.col("_dmy")), "_other": F.when(us, F.col("_dmy")).otherwise(F.col("_mdy"))})
+        return two.withColumns({"_lu": fit(F.col("_usual")), "_lo": fit(F.col("_other"))})
+
     bins = (
-        rows.where("_llr IS NOT NULL AND _source IS NOT NULL")
-        .groupBy("_source", "_llr").agg(F.count("*").alias("n"))
-        .groupBy("_source").agg(F.collect_list(F.struct(F.col("_llr").cast("double").alias("l"), F.col("n").cast("double").alias("n"))).alias("bins"))
-    )  # at most 121 bins a source
-    info = zones.select(F.col("source").alias("_source"), "zone").join(bins, "_source", "full")
-    america = F.coalesce(F.col("zone"), F.lit("UTC")).rlike(AMERICAS)
-    prior = F.when(america, F.lit(1 - 1e-9)).otherwise(F.lit(1e-9))
-    sig = lambda p, x: 1 / (1 + (1 - p) / p * F.exp(-x))
-    step = lambda p: F.aggregate("bins", F.lit(0.0), lambda a, b: a + b["n"] * sig(p, b["l"]))
-    strength = 1e9  # pseudo-counts with which the convention enters: data refine, never overturn it
-    total = F.aggregate("bins", F.lit(0.0), lambda a, b: a + b["n"])
-    share = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), prior, lambda p, _: (prior * strength + step(p)) / (strength + total))
-    info = info.select("_source", "zone", america.alias("_us"), F.coalesce(F.when(F.col("bins").isNotNull(), share), prior).alias("_share"))
-    rows = rows.join(info, "_source", "left")
-    us, p = F.coalesce("_us", F.lit(False)), F.coalesce("_share", F.lit(1e-9))
-    month_first = sig(p, F.col("_llr").cast("double"))
-    # The convention decides in the end: against it a reading is only marked, never taken.
-    slashed = F.when(us, F.col("_mdy")).otherwise(F.col("_dmy"))
-    wall = F.coalesce("_one", slashed)
+        with_likelihoods(known(rows.where("_source IS NOT NULL AND coalesce(_mdy, _dmy) IS NOT NULL").select("_source", "_family", "_mdy", "_dmy", "_seen"), info))
+        .groupBy("_source", "_family", "_lu", "_lo").agg(F.count("*").cast("double").alias("n"))
+        .groupBy("_source", "_family").agg(F.collect_list(F.struct(F.col("_lu").alias("usual"), F.col("_lo").alias("other"), "n")).alias("bins"))
+    )  # at most some 200 bins a source and notation
+    shares = bins.select("_source", F.struct("_family", _shares(F.col("bins"), prior, strength, rounds).alias("share")).alias("e")).groupBy("_source").agg(F.map_from_entries(F.collect_list("e")).alias("_shares"))
+    rows = with_likelihoods(known(rows, cut(info.join(shares, "_source", "full"))))
+    share = F.coalesce(F.try_element_at("_shares", F.col("_family")), F.struct(F.lit(prior[0]).alias("other"), F.lit(prior[1]).alias("none")))
+    rows = rows.select("*", F.inline(F.array(F.when(F.col("_family").isin(*TWO_WAYS), _posterior(F.col("_lu"), F.col("_lo"), share)).otherwise(F.struct(F.lit(1.0).alias("usual"), F.lit(0.0).alias("other"), F.lit(0.0).alias("none"))))).alias("_pu", "_po", "_pn"))
+    most = F.greatest("_pu", "_po", "_pn")
+    wall = F.coalesce("_one", F.when(F.col("_pu") == most, F.col("_usual")).when(F.col("_po") == most, F.col("_other")))
     zone = F.coalesce("zone", F.lit("UTC"))
     local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone))
     utc = F.coalesce("_abs", F.when(~F.col("_badzone"), F.coalesce(wall - F.col("_off").cast("bigint") * 60_000_000, local)))
-    post = F.when(F.col("_family") == "slashed", F.when(us, month_first).otherwise(1 - month_first)).otherwise(F.lit(1.0))
     return rows.select(
         *[F.col("_row")[c].alias(c) for c in own],
         utc.alias("utc_us"),
         F.col("_family").alias("notation"),
-        F.when(utc.isNotNull(), post).alias("posterior"),
-        F.coalesce(utc.isNotNull() & F.col("_mdy").isNotNull() & F.col("_dmy").isNotNull() & (F.col("_mdy") != F.col("_dmy")) & (post < 1 - doubt), F.lit(False)).alias("ambiguous"),
-        F.coalesce(F.col("_text").rlike(EXACT), F.lit(False)).alias("exact"),
+        F.when(utc.isNotNull(), most).alias("posterior"),
+        F.coalesce(utc.isNotNull() & (F.col("_mdy") != F.col("_dmy")) & (most < 1 - doubt), F.lit(False)).alias("ambiguous"),
+        F.col("_exact").alias("exact"),
     )

@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows of a table with a row per group that are broadcast at most (some 100 bytes each).
+BROADCAST_GROUPS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster names one.
@@ -72,6 +75,19 @@ def _delete_all() -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
 
 
+def share_file(spark: SparkSession, label: str, content: bytes) -> str:
+    """Put a file into the shared folder, on whatever file system, and have Spark copy it to every executor; SparkFiles.get() of the name returned finds it."""
+    name = f"gridlake-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(content))
+    out.close()
+    _WRITTEN[path] = spark
+    spark.sparkContext.addFile(path)
+    return name
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """Fail early and by name when an input lacks a column."""
     missing = [c for c in columns if c not in df.columns]
