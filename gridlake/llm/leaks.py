@@ -104,6 +104,7 @@ class Automaton:
                     link[q] = link[cur] = clone
             last = cur
         self.next, self.link, self.length = nxt, link, length
+        self.met: dict[bytes, list[tuple[int, int, int]]] = {}
         # The state of the last SEED words (of all texts that end like them); every place belongs to one.
         seed = [-1] * len(nxt)
         for s in sorted(range(1, len(nxt)), key=lambda s: length[s]):
@@ -139,6 +140,16 @@ class Automaton:
         if n >= SEED:
             yield len(words) - 1, seed[s], -(1 << 30)
 
+    def ends_met(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """ends() of a stretch, remembered: stock sentences come again and again."""
+        key = words.tobytes()
+        got = self.met.get(key)
+        if got is None:
+            if len(self.met) >= 100_000:
+                self.met.clear()
+            got = self.met[key] = list(self.ends(words.tolist()))
+        return got
+
     def stretches(self, ids: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(first word, word after the last) of the stretches whose every SEED words stand in the passages: all that the automaton need read."""
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
@@ -171,14 +182,17 @@ def candidates(auto: Automaton, words: Words, page_break: int) -> tuple[np.ndarr
         return none, none, none, none
     at = np.minimum(np.searchsorted(auto.words, words.hash), len(auto.words) - 1)
     ids = np.where(auto.words[at] == words.hash, at, -(1 << 30))
-    found = [(d + i, u, w if w >= 0 else int(ids[z]) if z < len(ids) else w) for d, z in zip(*(x.tolist() for x in auto.stretches(ids, words)), strict=True) for i, u, w in auto.ends(ids[d:z].tolist())]
+    ids = ids.astype(np.int32)
+    found = [(d + i, u, w if w >= 0 else int(ids[z]) if z < len(ids) else w) for d, z in zip(*(x.tolist() for x in auto.stretches(ids, words)), strict=True) for i, u, w in auto.ends_met(ids[d:z])]
     if not found:
         return none, none, none, none
     ends, state, after = np.array(found, np.int64).T
     texts = np.searchsorted(words.begin, ends, "right") - 1
     width = 20
-    padded = np.concatenate([np.full(64, -(1 << 29)), ids, np.full(64, -(1 << 29))]).astype(np.int32)
-    passage = np.concatenate([np.full(64, -(1 << 28)), auto.text, np.full(64, -(1 << 28))]).astype(np.int32)
+    # Word numbers as narrow as they fit; words that aren't in any passage equal none of theirs.
+    narrow = np.int16 if len(auto.words) < 1 << 15 else np.int32
+    padded = np.concatenate([np.full(64, -1), np.maximum(ids, -1), np.full(64, -1)]).astype(narrow)
+    passage = np.concatenate([np.full(64, -2), np.maximum(auto.text, -2) - (auto.text < 0), np.full(64, -2)]).astype(narrow)
     around_text, around_passage = np.lib.stride_tricks.sliding_window_view(padded, 71), np.lib.stride_tricks.sliding_window_view(passage, 67)
     kept = []
     # Some 20,000 places at once, or those of one end.
@@ -208,31 +222,53 @@ def candidates(auto: Automaton, words: Words, page_break: int) -> tuple[np.ndarr
     return text[new], of[new], shift[new], shift[last]
 
 
-def align(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Best local alignment of each passage near its places in a text: rows (score, passage words spanned, words alike, first word of the text, last).
+def best_scores(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The score that align() would give, without what stands where: a fifth of its work."""
+    out = np.zeros(len(text), np.int64)
+    for pick, rows, cols, doc in _windows(auto, words, text, of, low, high):
+        kind = np.int16 if MATCH * rows + cols + FAR < 1 << 14 else np.int32
+        j = np.arange(cols + 1, dtype=kind)
+        score = np.zeros((len(pick), cols + 1), kind)
+        gain = np.array([MISS, MATCH], kind)
+        for r in range(rows):
+            live = r < auto.size[of[pick]]
+            word = auto.text[np.minimum(auto.begin[of[pick]] + r, len(auto.text) - 1)].astype(np.int32)
+            new = np.maximum(score + kind(MISS), 0)
+            np.maximum(new[:, 1:], score[:, :-1] + gain[(doc == word[:, None]).view(np.int8)], out=new[:, 1:])
+            score = np.maximum(np.maximum.accumulate(new - kind(SKIP) * j, axis=1) + kind(SKIP) * j, np.maximum.accumulate(new, axis=1) - kind(FAR))
+            out[pick] = np.maximum(out[pick], np.where(live, new.max(axis=1), 0))
+    return out
 
-    Words of the text in between cost SKIP each and FAR at most, so a page break of any length
-    costs the same; other changes cost MISS.
-    """
-    out = np.zeros((len(text), 5), np.int64)
+
+def _windows(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """(candidates, words of their longest passage, columns, word numbers of the text in each column), as many at once as two million cells hold."""
     if not len(text):
-        return out
+        return
     at = np.minimum(np.searchsorted(auto.words, words.hash), max(len(auto.words) - 1, 0))
     ids = np.append(np.where(auto.words[at] == words.hash, at, -(1 << 30)), -(1 << 30))
     columns = auto.size[of] + 96 + high - low
     order = np.lexsort((columns, auto.size[of]))
     a = 0
     while a < len(order):
-        # As many at once as some two million cells hold.
         b = a + 1
         while b < len(order) and b - a < 512 and (b - a + 1) * columns[order[a : b + 1]].max() <= 2_000_000:
             b += 1
         pick = order[a:b]
         a = b
-        rows, cols = int(auto.size[of[pick]].max()), int(columns[pick].max())
+        cols = int(columns[pick].max())
         doc_at = low[pick, None] - 24 + np.arange(cols) + words.begin[text[pick], None]
         inside = (doc_at >= words.begin[text[pick], None]) & (doc_at < words.begin[text[pick] + 1, None])
-        doc = np.where(inside, ids[np.clip(doc_at, 0, len(ids) - 1)], -(1 << 30)).astype(np.int32)
+        yield pick, int(auto.size[of[pick]].max()), cols, np.where(inside, ids[np.clip(doc_at, 0, len(ids) - 1)], -(1 << 30)).astype(np.int32)
+
+
+def align(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Best local alignment of each passage near its places in a text: rows (score, passage words spanned, words alike, first word of the text, last).
+
+    Words of the text in between cost SKIP each and FAR at most, so a page break of any length
+    costs the same; other changes cost MISS.
+    """
+    out = np.zeros((len(text), 5), np.int64)
+    for pick, rows, cols, doc in _windows(auto, words, text, of, low, high):
         shift = (cols + 1).bit_length()
         mask = (1 << shift) - 1
         wide = np.int32 if (MATCH * rows + 2 * cols + FAR + 2) << shift < 1 << 31 else np.int64
@@ -453,9 +489,11 @@ def leaks_in(auto: Automaton, texts: list[str], running: int, score: float, page
     out: list[Leak] = []
     names = np.arange(len(texts))
     while True:
-        text, of, low, high = candidates(auto, words, page_break)
-        got = align(auto, words, text, of, low, high)
-        need = np.minimum(running, auto.size[of])
+        found = candidates(auto, words, page_break)
+        need = np.minimum(running, auto.size[found[1]])
+        high_enough = best_scores(auto, words, *found) >= score * need
+        text, of, low, high = (x[high_enough] for x in found)
+        got, need = align(auto, words, text, of, low, high), need[high_enough]
         leak = (got[:, 1] >= need) & (got[:, 0] >= score * need)
         best: dict[tuple[int, int], Leak] = {}
         for t, p, (_, w, s, a, z) in zip(text[leak].tolist(), of[leak].tolist(), got[leak].tolist(), strict=True):
