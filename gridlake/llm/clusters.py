@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from gridlake.runtime import cut, discard, require
 
 HOURS = 24
-BLOCK = 128  # rows compared at once with their block and the blocks before and after
+BLOCK = 512  # rows compared at once
+REACH = 4096  # rows before and after a block that it is compared with
 FLOOR = 1e-4  # distances below count as this
 
 
@@ -64,11 +65,12 @@ def shape_table(df: DataFrame, id_column: str, curve: str) -> DataFrame:
 
 
 def neighbours(nodes: DataFrame, k: int, rounds: int, cell: float, seed: int) -> DataFrame:
-    """(node, near, chain): per round the k nearest rows among some hundreds in the same region, and the row before.
+    """(node, near, chain): per round the k nearest rows among some thousands in the same region, and the row before.
 
     A round sorts the nodes by the cell of a random grid they fall in and, within a cell, along a
-    random direction; every row is compared with its block of the order and the two next to it. A
-    cell of any size is so many blocks; the rounds' grids and orders differ, which links them.
+    random direction; every block of the order is compared with itself and the REACH rows before
+    and after it. A cell of any size is so many blocks; the rounds' grids and orders differ, which
+    links them and finds neighbours across the edges of tasks.
     """
     rng = np.random.default_rng(seed)
     axes = rng.normal(size=(rounds, 4, HOURS))
@@ -96,12 +98,12 @@ def neighbours(nodes: DataFrame, k: int, rounds: int, cell: float, seed: int) ->
                 node = np.concatenate([node, b.column("node").to_numpy()])
                 x = np.concatenate([x, b.column("shape").flatten().to_numpy().reshape(-1, HOURS)])
                 lap = np.concatenate([lap, b.column("round").to_numpy()])
-            stop = len(node) if b is None else max(begin, len(node) - BLOCK)
+            stop = len(node) if b is None else max(begin, len(node) - REACH)
             while begin < stop and (b is None or begin + BLOCK <= stop):
                 end = min(begin + BLOCK, stop)
                 yield _near(node, x, lap, begin, end, k)
                 begin = end
-            drop = max(0, begin - BLOCK)
+            drop = max(0, begin - REACH)
             node, x, lap, begin = node[drop:], x[drop:], lap[drop:], begin - drop
 
     placed = nodes.select("node", "shape").mapInArrow(place, "round int, cell bigint, along double, node bigint, shape array<float>")
@@ -115,16 +117,30 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 
 def _near(node: np.ndarray, x: np.ndarray, lap: np.ndarray, begin: int, end: int, k: int) -> pa.RecordBatch:
-    lo, hi = max(0, begin - BLOCK), min(len(node), end + BLOCK)
+    lo, hi = max(0, begin - REACH), min(len(node), end + REACH)
     a, c = x[begin:end], x[lo:hi]
-    d = np.maximum((a**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * a @ c.T, 0)
-    d[np.arange(end - begin), np.arange(begin - lo, end - lo)] = np.inf
-    d[lap[begin:end, None] != lap[None, lo:hi]] = np.inf
-    few = min(k, hi - lo - 1)
-    pick = np.argpartition(d, max(few - 1, 0), axis=1)[:, :few] if few > 0 else np.zeros((end - begin, 0), np.int64)
     i = np.arange(end - begin)[:, None]
-    true = np.round(np.sqrt(((a[:, None] - c[pick]) ** 2).mean(2)), 5)
+    # Squared distance but for what a row has in common; one product gives it. Padded to whole groups.
+    groups = -(-(hi - lo) // 16)
+    d = np.full((end - begin, 16 * groups), np.inf, np.float32)
+    mean = a.mean(0)
+    d[:, : hi - lo] = np.column_stack([-2 * (a - mean), np.ones(len(a), np.float32)]) @ np.column_stack([c - mean, ((c - mean) ** 2).sum(1)]).T
+    d[i[:, 0], np.arange(begin - lo, end - lo)] = np.inf
+    if lap[lo] != lap[hi - 1]:
+        d[:, : hi - lo][lap[begin:end, None] != lap[None, lo:hi]] = np.inf
+    few = min(k, hi - lo - 1)
+    if few > 0:
+        # The k smallest lie in the k groups with the smallest minima.
+        least = d.reshape(len(a), 16, groups).min(axis=1)
+        top = np.argpartition(least, min(few, groups) - 1, axis=1)[:, : min(few, groups)]
+        among = (top[:, :, None] + groups * np.arange(16)).reshape(len(a), -1)
+        few = min(few, among.shape[1])
+        pick = among[i, np.argpartition(d[i, among], few - 1, axis=1)[:, :few]]
+    else:
+        pick = np.zeros((end - begin, 0), np.int64)
     ok = np.isfinite(d[i, pick])
+    pick = np.minimum(pick, hi - lo - 1)
+    true = np.round(np.sqrt(((a[:, None] - c[pick]) ** 2).mean(2)), 5)
     near = _edges(true, node[lo:hi][pick], ok)
     before = np.arange(begin, end) - 1
     prev = np.maximum(before, 0)
@@ -183,7 +199,7 @@ def contract(edges: DataFrame, limit: int, labels: DataFrame | None = None) -> t
     return tree, cur, labels
 
 
-def spanning_tree(edges: DataFrame, limit: int = 1_500_000) -> DataFrame:
+def spanning_tree(edges: DataFrame, limit: int = 100_000) -> DataFrame:
     """(a, b, w) of the minimum spanning forest: distributed rounds, then one task for at most ``limit`` edges."""
     tree, rest, _ = contract(edges, limit)
 
@@ -394,8 +410,8 @@ def cluster_curves(
     rounds: int = 3,
     cell: float = 0.3,
     seed: int = 7,
-    tree_limit: int = 1_500_000,
-    hierarchy_limit: int = 400_000,
+    tree_limit: int = 100_000,
+    hierarchy_limit: int = 100_000,
 ) -> DataFrame:
     """(id_column, cluster, persistence): one row per curve; cluster is the smallest id in it, NULL for an odd day.
 
@@ -405,8 +421,8 @@ def cluster_curves(
     cluster. Copies of a curve are one node that weighs as many. Curves without a shape (NULL,
     empty, mean zero) are odd.
 
-    One task finishes the spanning tree, for ``tree_limit`` edges at most; beyond these, distributed
-    rounds contract the tree first. The hierarchy is climbed in bands of ``hierarchy_limit`` edges at
+    Distributed rounds contract the graph until ``tree_limit`` edges are left, of which one task
+    finishes the spanning tree. The hierarchy is climbed in bands of ``hierarchy_limit`` edges at
     most, a task each; the clusters are the same in one band or many.
     """
     require(df, id_column, curve)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridlake.llm import leaks as lk
 from gridlake.llm import repetition as rp
 from gridlake.llm import tokens as tk
-from gridlake.llm.clusters import cluster_curves, condense, describe_clusters, kruskal, pairs_together, shapes
+from gridlake.llm.clusters import cluster_curves, condense, describe_clusters, kruskal, neighbours, pairs_together, shapes
 from gridlake.llm.percentiles import merge_counts, percentiles, value_counts
 from gridlake.llm.words import words_of
 
@@ -228,6 +228,22 @@ def test_clusters(spark, limits):
         assert [tuple(r) for r in pairs_together(pairs, members).collect()] == [(1, 2)]
 
 
+def test_neighbour_recall(spark):
+    """One dense kind with more rows than a block is compared with, cut by several tasks."""
+    rng = np.random.default_rng(2)
+    x = (1 + 0.08 * rng.normal(size=(14_000, 24))).astype(np.float32)
+    near = neighbours(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node bigint, shape array<float>"), 6, 3, 0.3, 7)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.node, set()).update(e.to for e in r.near)
+    ask = rng.choice(len(x), 400, replace=False)
+    d = ((x[ask][:, None] - x[None, :7000]) ** 2).sum(2), ((x[ask][:, None] - x[None, 7000:]) ** 2).sum(2)
+    d = np.concatenate(d, axis=1)
+    d[np.arange(len(ask)), ask] = np.inf
+    true = np.argsort(d, axis=1)[:, :6]
+    assert np.mean([len(set(t) & got[a]) / 6 for a, t in zip(ask.tolist(), true.tolist(), strict=True)]) >= 0.9
+
+
 @pytest.mark.parametrize("noise, least", [([0.1, 0.14], 1), ([0.06, 0.12], 5)])
 def test_clusters_in_bands(spark, noise, least):
     """Kinds that split just above merge_below: the clusters don't depend on the number of tasks."""
@@ -235,7 +251,7 @@ def test_clusters_in_bands(spark, noise, least):
     rows = [(i, [float(v) for v in 1 + 0.3 * (1 + 0.3 * (i % 2)) * np.cos((1 + i % 5) * hour) + rng.choice(noise) * rng.normal(size=24)]) for i in range(450)]
     rows += [(450 + i, rows[i // 4][1]) for i in range(20)]  # copies, heavier than `least`
     df = spark.createDataFrame(rows, "curve_id bigint, qe array<double>")
-    one, many = ({r.curve_id: (r.cluster, r.persistence) for r in cluster_curves(df, hierarchy_limit=n).collect()} for n in (400_000, 150))
+    one, many = ({r.curve_id: (r.cluster, r.persistence) for r in cluster_curves(df, hierarchy_limit=n).collect()} for n in (100_000, 150))
     assert len({c for c, _ in one.values()} - {None}) >= least and many == one
 
 
