@@ -118,6 +118,22 @@ def test_ambiguity_is_marked_and_columns_clash(spark):
     assert normalise_timestamps(df.limit(0), source_zones(spark.createDataFrame([], "sensorid string, addresstimezone string"))).count() == 0
 
 
+@pytest.mark.parametrize("sep, family", [("/", "slashed"), (".", "dotted")])
+def test_deliveries_can_turn_a_notation_around(spark, sep, family):
+    """Month first in Europe: one line is only marked, twenty that can't have been delivered before they were measured are read so."""
+    true = [datetime(2024, m, d, 10, tzinfo=UTC) for m in range(1, 6) for d in range(m + 2, m + 6)]
+    zones = source_zones(spark.createDataFrame([("s", "Europe/London")], "sensorid string, addresstimezone string"))
+    lines = [(i, "s", t.strftime(f"%m{sep}%d{sep}%Y %H:%M"), 1.0, t) for i, t in enumerate(true)] + [(99, "s", f"06{sep}25{sep}2024 10:00", 1.0, None)]
+    schema = "line_id bigint, series_id string, c0 string, c1 double, received_ts timestamp"
+    read = lambda rows: {r.line_id: r for r in normalise_timestamps(spark.createDataFrame(rows, schema), zones).collect()}
+    many, one = read(lines), read([lines[0], lines[-1]])
+    assert {r.notation for r in many.values()} == {family}
+    summer = lambda t: 3600 * (t >= datetime(2024, 3, 31, 1, tzinfo=UTC))
+    assert all(many[i].utc_us == (t.timestamp() - summer(t)) * 1e6 for i, t in enumerate(true)) and many[99].utc_us is not None
+    wrong = true[0].replace(month=true[0].day, day=true[0].month)
+    assert one[0].utc_us == (wrong.timestamp() - summer(wrong)) * 1e6 and one[0].ambiguous and one[99].utc_us is None
+
+
 def brute_grid(points, hold=3600):
     points = sorted(points)
     out = {}
@@ -157,7 +173,7 @@ def faults(spark, rows, **kw):
     return {(r.reading_id, r.field): r.fault for r in flag_faults(spark.createDataFrame(rows, BUILDING), **kw).collect()}
 
 
-@pytest.mark.parametrize("chunk", [2016, 240])
+@pytest.mark.parametrize("chunk", [2016, 504])
 def test_faults(spark, chunk):
     rows = reading_rows(24 * 40)
     for i in (200, 201, 500, 1300):
@@ -179,6 +195,27 @@ def test_faults(spark, chunk):
     assert faults(spark, rows, chunk_hours=chunk) == want
 
 
+def test_faults_do_not_depend_on_blocks(spark):
+    """Months with a change of level, three outages at zero, quiet nights, spikes and a stuck stretch: the same flags in any blocks."""
+    rng = np.random.default_rng(4)
+    rows = reading_rows(6000)
+    for i, r in enumerate(rows):
+        r[5] = float(round((3 + np.sin(i / 24 * 2 * np.pi) + 0.1 * rng.normal()) * (8 if i > 3000 else 1), 3))
+        if r[4].hour < 3 and i > 4000:
+            r[5] = 0.0
+    for a, z in ((500, 560), (1990, 2010), (3500, 3530)):
+        for i in range(a, z):
+            rows[i][5] = 0.0
+    for i in (300, 2015, 2016, 2017, 4500):
+        rows[i][5] *= 6
+    for i in range(2500, 2515):
+        rows[i][5] = 2.75
+    one = faults(spark, rows, chunk_hours=100_000)
+    assert {i for (i, f), kind in one.items() if kind == "stuck" and f == "qe"} == {i + 1 for a, z in ((500, 560), (1990, 2010), (3500, 3530), (2500, 2515)) for i in range(a, z)}
+    assert {i for (i, _), kind in one.items() if kind == "spike"} == {301, 2016, 2017, 2018, 4501}
+    assert all(faults(spark, rows, chunk_hours=n) == one for n in (504, 2016))
+
+
 def test_faults_edge_cases(spark):
     assert faults(spark, []) == {}
     t = datetime(2023, 1, 1, tzinfo=UTC)
