@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.period import bucket, seconds
-from gridlake.runtime import require
+from gridlake.operators.blocks import in_blocks, sorted_blocks
+from gridlake.runtime import cut, require
 
 
 def calendar_components(df: DataFrame, tz: str, time: str = "time", holidays: list[str] | None = None) -> DataFrame:
@@ -73,48 +76,51 @@ def lag_components(df: DataFrame, keys: list[str], features: list[str], lags: li
 def low_pass(df: DataFrame, keys: list[str], features: list[str], alpha: float, time: str = "time", chunk: str = "P30D") -> DataFrame:
     """Add {feature}_lpf: y = alpha * previous y + (1 - alpha) * x per series; a NULL restarts the filter.
 
-    The recurrence is linear, so a series is cut in chunks of time that are folded side by side from
-    zero; what a chunk hands on is a power of alpha times what it got. Only one row per chunk is then
-    folded per series. Rows of the same time are taken in order of their columns; rows without a time
-    get NULL.
+    The recurrence is linear, so blocks of time are folded side by side from zero, by doubling steps;
+    what a block hands on is a power of alpha times what it got. Only one row per block is then folded
+    per series. Rows of the same time are taken in order of their features; rows without a time get
+    NULL.
     """
     require(df, time, *keys, *features)
-    k = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds(chunk))
-    packed = df.withColumn("_k", k).groupBy(*keys, "_k").agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("_t"), F.struct(*df.columns).alias("row")))).alias("_a"))
-
-    def fold(f: str) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            v = x["row"][f].cast("double")
-            last = F.element_at(acc, -1)
-            # The fold's type is its start's, without NULLs: ok marks rows with a value.
-            y = F.coalesce(alpha * last["y"] + (1 - alpha) * v, F.lit(0.0))
-            # p: the factor with which the value before the chunk still counts; 0 once restarted.
-            p = F.when(v.isNotNull() & last["ok"], last["p"] * alpha).otherwise(0.0)
-            return F.concat(acc, F.array(F.struct(y.alias("y"), p.alias("p"), v.isNotNull().alias("ok"))))
-
-        start = F.array(F.struct(F.lit(0.0).alias("y"), F.lit(1.0).alias("p"), F.lit(True).alias("ok")))
-        return F.aggregate("_a", start, step)
-
-    def chained(f: str) -> Column:
-        def carry(acc: Column, x: Column) -> Column:
-            t = x[f"_t{f}"]
-            return F.concat(acc, F.array(t["y"] + t["p"] * F.element_at(acc, -1)))
-
-        return F.aggregate("_c", F.array(F.lit(0.0)), carry)
-
-    folded = packed.withColumns({f"_{f}": fold(f) for f in features})
-    tails = folded.select(*keys, "_k", *[F.element_at(f"_{f}", -1).alias(f"_t{f}") for f in features])
-    chain = tails.where("_k IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", *[f"_t{f}" for f in features]))).alias("_c"))
-    got = [chained(f).alias(f"_in{f}") for f in features]
-    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    joined = folded.alias("x").join(chain.select(*keys, F.transform("_c", lambda c: c["_k"]).alias("_ks"), *got).alias("c"), same, "left")
-    at = lambda f: F.get(f"c._in{f}", (F.array_position("c._ks", F.col("x._k")) - 1).cast("int"))
-    zipped = F.expr("sequence(0, size(x._a) - 1)")
-    out = joined.select(F.explode(F.transform(zipped, lambda i: F.struct(
-        F.col("x._a")[i]["row"].alias("row"),
-        *[F.when(F.col(f"x._{f}")[i + 1]["ok"], F.col(f"x._{f}")[i + 1]["y"] + F.col(f"x._{f}")[i + 1]["p"] * at(f)).alias(f"{f}_lpf") for f in features],
-    ))).alias("_o"))
-    return out.select("_o.row.*", *[f"_o.{f}_lpf" for f in features])
+    own = df.columns
+    rows = in_blocks(df, keys, time, chunk)
+
+    def fold(table: pa.Table, begin: np.ndarray) -> dict[str, pa.Array]:
+        out = {}
+        n = table.num_rows
+        at = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
+        for i, f in enumerate(features):
+            x = table.column(f).cast(pa.float64()).to_numpy()
+            known = np.isfinite(x)
+            y, a = np.where(known, (1 - alpha) * x, 0.0), np.where(known, alpha, 0.0)
+            p = a.copy()
+            step = 1
+            while step < (at.max() + 1 if n else 1):
+                inner = at >= step
+                before = np.flatnonzero(inner) - step
+                y_new, p_new = y.copy(), p.copy()
+                y_new[inner] += p[inner] * y[before]
+                p_new[inner] *= p[before]
+                y, p, step = y_new, p_new, 2 * step
+            # p: the factor with which the value before the block still counts.
+            out[f"_y{i}"], out[f"_p{i}"] = pa.array(y), pa.array(p)
+            out[f"_ok{i}"] = pa.array(known)
+        return out
+
+    add = ", ".join(f"_y{i} double, _p{i} double, _ok{i} boolean" for i in range(len(features)))
+    folded = cut(sorted_blocks(rows, ["_g"], [F.asc(time), *[F.asc(f) for f in features]], fold, add))
+    last = F.struct(F.col(time), *features)
+    tails = folded.where("_g.c IS NOT NULL").groupBy("_g").agg(*[F.max_by(F.struct(f"_y{i}", f"_p{i}"), last).alias(f"_t{i}") for i in range(len(features))])
+    packed = tails.groupBy(F.col("_g.k").alias("_s")).agg(F.array_sort(F.collect_list(F.struct(F.col("_g.c").alias("c"), *[f"_t{i}" for i in range(len(features))]))).alias("_a"))  # a row per block
+
+    def chain(i: int) -> Column:
+        step = lambda acc, x: F.struct((x[f"_t{i}"][f"_y{i}"] + x[f"_t{i}"][f"_p{i}"] * acc["y"]).alias("y"), F.concat(acc["got"], F.array(acc["y"])).alias("got"))
+        return F.aggregate("_a", F.struct(F.lit(0.0).alias("y"), F.expr("CAST(array() AS array<double>)").alias("got")), step)["got"]
+
+    carried = packed.select("_s", F.inline(F.arrays_zip(F.transform("_a", lambda x: x["c"]).alias("c"), *[chain(i).alias(f"_in{i}") for i in range(len(features))])))
+    carried = carried.select(F.struct(F.col("_s").alias("k"), "c").alias("_g"), *[f"_in{i}" for i in range(len(features))])
+    got = {f"{f}_lpf": F.when(F.col(f"_ok{i}") & F.col(time).isNotNull(), F.col(f"_y{i}") + F.col(f"_p{i}") * F.coalesce(f"_in{i}", F.lit(0.0))) for i, f in enumerate(features)}
+    return folded.join(carried, "_g", "left").withColumns(got).select(*own, *got)
 
 
 def smoothing_scale(hours: float, step: str) -> float:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlake.operators.blocks import carry, in_blocks, inside
 from gridlake.runtime import require
 
 
@@ -20,7 +21,8 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: s
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], time: str = "time") -> DataFrame:
     """Add to each left row ``columns`` and ``matched_time`` of the right row nearest in time; of two as near the earlier.
 
-    One sort of both sides per key: the last right row before and the first after are carried along.
+    One sort of both sides per key and block of time: the last right row before and the first after are
+    carried along, and from block to block.
     """
     require(left, time, *keys)
     require(right, time, *keys, *columns)
@@ -30,8 +32,9 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], columns: li
         right.where(F.col(time).isNotNull()).select(*keys, F.col(time), F.lit(None).cast(left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType).alias("_row"), info.alias("_x"))
     )
     # Rows of the same time count on both sides; what comes after is seen from the end, in one pass.
-    upto = lambda by: F.last("_x", True).over(Window.partitionBy(*keys).orderBy(by).rangeBetween(Window.unboundedPreceding, 0))
-    both = both.withColumns({"_b": upto(F.asc(time)), "_a": upto(F.desc(time))})
+    both = carry(in_blocks(both, keys, time), before={"_b": F.max("_x")}, after={"_a": F.min("_x")})
+    upto = lambda back: F.last("_x", True).over(inside(time, back).rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"_b": F.coalesce(upto(False), "_b"), "_a": F.coalesce(upto(True), "_a")})
     us = lambda c: F.unix_micros(c.cast("timestamp"))
     before, after = us(F.col(time)) - us(F.col("_b.t")), us(F.col("_a.t")) - us(F.col(time))
     pick = F.when(after.isNull() | (before <= after), F.col("_b")).otherwise(F.col("_a"))
@@ -40,8 +43,37 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], columns: li
 
 def next_known(df: DataFrame, keys: list[str], column: str, time: str = "time") -> DataFrame:
     """NULLs of ``column`` take the next known value of the series."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+    rows = carry(in_blocks(df, keys, time), after={"_later": F.min_by(column, F.when(F.col(column).isNotNull(), F.col(time)))})
+    here = F.last(column, ignorenulls=True).over(inside(time, True).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(column, F.coalesce(here, "_later")).select(*df.columns)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Natural join on ``keys`` in which NULL equals NULL; ``how``: inner, left, right or full. Keys come once, from whichever side has them."""
+    require(left, *keys)
+    require(right, *keys)
+    clash = sorted(set(left.columns) & set(right.columns) - set(keys))
+    if clash:
+        raise ValueError(f"both sides have {', '.join(clash)}")
+    other = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys], F.lit(True).alias("_there"))
+    same = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    # A row without left side has its keys from the right, whether they are NULL or not.
+    one = [F.coalesce(k, f"_r{i}").alias(k) for i, k in enumerate(keys)]
+    return left.join(other, same, how).select(*one, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])
+
+
+def member_of(df: DataFrame, column: str, among: DataFrame, negate: bool = False) -> DataFrame:
+    """Rows whose ``column`` is (or isn't) among the only column of ``among``; NULL is among NULLs only, as a set has it."""
+    (name,) = among.columns
+    return df.join(among.select(F.col(name).alias("_m")).distinct(), F.col(column).eqNullSafe(F.col("_m")), "left_anti" if negate else "left_semi")
+
+
+def keep_one(df: DataFrame, keys: list[str], order: list[Column], last: bool = False) -> DataFrame:
+    """One whole row per key, NULL keys included: the first in ``order``, or the last. Give an order without ties."""
+    rest = [c for c in df.columns if c not in keys]
+    pick = F.max_by if last else F.min_by
+    got = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_row"))
+    return got.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions.numerics import quantile_regression
 from gridlake.functions.period import bucket, seconds
+from gridlake.operators.blocks import carry, in_blocks
 from gridlake.runtime import require
 
 
@@ -44,8 +45,9 @@ def min_max_outliers(df: DataFrame, keys: list[str], low: float | None = None, h
                 tag = [F.col(k) for k in keys]
                 left = out.select(*tag, F.col(time), F.struct(*out.columns).alias("_row"), F.lit(None).cast("double").alias(name), F.lit(1).alias("_o"))
                 right = bound.select(*tag, F.col(time), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(name).cast("double").alias(name), F.lit(0).alias("_o"))
-                w = Window.partitionBy(*keys).orderBy(time, "_o").rowsBetween(Window.unboundedPreceding, 0)
-                out = left.unionByName(right).withColumn(name, F.last(name, ignorenulls=True).over(w)).where("_o = 1").select("_row.*", name)
+                both = carry(in_blocks(left.unionByName(right), keys, time), before={"_earlier": F.max_by(name, F.when(F.col(name).isNotNull(), F.struct(time, "_o")))})
+                w = Window.partitionBy("_g").orderBy(time, "_o").rowsBetween(Window.unboundedPreceding, 0)
+                out = both.withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(w), "_earlier")).where("_o = 1").select("_row.*", name)
         else:
             out = out.withColumn(name, F.lit(fixed).cast("double"))
         masks.append(F.when(F.col(name).isNull(), False).otherwise(F.col(value) < F.col(name) if sign < 0 else F.col(value) > F.col(name)))
@@ -61,9 +63,11 @@ def zscore_outliers(df: DataFrame, keys: list[str], threshold: float, window: st
     require(df, time, value, *keys)
     v = F.col(value)
     if window is None:
-        w = Window.partitionBy(*keys)
-        mid = F.avg(v).over(w) if centre == "mean" else F.median(v).over(w)
-        z = F.try_divide(v - mid, F.stddev_samp(v).over(w))
+        # Aggregated before it moves: a series is one row of the join's other side.
+        one = df.groupBy(*keys).agg((F.avg(v) if centre == "mean" else F.median(v)).alias("_mid"), F.stddev_samp(v).alias("_sd"))
+        one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_mid", "_sd")
+        joined = df.join(one, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        return joined.withColumn("outlier", F.abs(F.try_divide(v - F.col("_mid"), F.col("_sd"))) >= threshold).select(*df.columns, "outlier")
     else:
         order = Window.partitionBy(*keys).orderBy(time)
         n = max(1, seconds(window) // seconds(step))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.period import bucket, bucket_seconds, iso_of_seconds, seconds
+from gridlake.operators.blocks import carry, in_blocks, inside
 from gridlake.operators.features import degree_raw
 from gridlake.runtime import is_finite, require
 
@@ -17,9 +18,9 @@ def detect_time_step(df: DataFrame, keys: list[str], time: str = "time") -> Data
     step of zero seconds.
     """
     require(df, time, *keys)
-    w = Window.partitionBy(*keys).orderBy(time)
-    t = F.col(time).cast("timestamp")
-    steps = df.where(F.col(time).isNotNull()).select(*keys, (F.unix_micros(t) - F.unix_micros(F.lag(t).over(w))).alias("_d"))
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = carry(in_blocks(df.where(F.col(time).isNotNull()).select(*keys, time), keys, time), before={"_last": F.max(us)})
+    steps = rows.select(*keys, (us - F.coalesce(F.lag(us).over(inside(time)), "_last")).alias("_d"))
     counted = steps.where("_d IS NOT NULL").select(*keys, iso_of_seconds(F.floor(F.col("_d") / 1_000_000)).alias("_iso")).groupBy(*keys, "_iso").agg(F.count("*").alias("_n"))
     best = counted.groupBy(*keys).agg(F.min_by("_iso", F.struct((-F.col("_n")).alias("n"), "_iso")).alias("timestep"))
     names = df.select(*keys).distinct()

@@ -4,30 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.functions.period import seconds
-from gridlake.operators.fill import round_up
+from gridlake.operators.fill import round_up, with_next
 from gridlake.operators.graph import match, optional
 from gridlake.operators.timestamps import source_zones
 from gridlake.runtime import require
 
 
-def interval_ends(df: DataFrame, keys: list[str], on_change: Column, cumulative: Column, hold: str, time: str = "start", end: str = "end", value: str = "value") -> DataFrame:
+def interval_ends(df: DataFrame, keys: list[str], on_change: Column, cumulative: Column, hold: str | Column, time: str = "start", end: str = "end", value: str = "value") -> DataFrame:
     """Readings as intervals with a consumption or level.
 
     Cumulative series: from one reading to the next, the difference over a counter's end. On-change
-    series: until the next reading, at most ``hold``. Others keep their ``end``. Rows without an end or
+    series: until the next reading, at most ``hold`` (a period, or seconds by row). Others keep their ``end``. Rows without an end or
     value give none.
     """
     require(df, time, end, value, *keys)
-    w = Window.partitionBy(*keys).orderBy(time)
-    nxt, nv = F.lead(time).over(w), F.lead(value).over(w)
+    own, df = df.columns, with_next(df, keys, [time, value], time)
+    nxt, nv = F.col("_next")[time], F.col("_next")[value]
     d = nv - F.col(value)
     grown = F.when(d < 0, round_up(F.col(value)) - F.col(value) + nv).otherwise(d)
-    stop = F.when(cumulative, nxt).when(on_change, F.least(nxt, F.col(time) + F.make_dt_interval(secs=F.lit(seconds(hold))))).otherwise(F.col(end))
-    return df.withColumns({end: stop, value: F.when(cumulative, grown).otherwise(F.col(value))}).where(F.col(end).isNotNull() & F.col(value).isNotNull() & (F.col(end) > F.col(time)))
+    stop = F.when(cumulative, nxt).when(on_change, F.least(nxt, F.col(time) + F.make_dt_interval(secs=F.lit(seconds(hold)) if isinstance(hold, str) else hold))).otherwise(F.col(end))
+    return df.withColumns({end: stop, value: F.when(cumulative, grown).otherwise(F.col(value))}).where(F.col(end).isNotNull() & F.col(value).isNotNull() & (F.col(end) > F.col(time))).select(*own)
 
 
 def intervals_to_grid(df: DataFrame, keys: list[str], step: str, how: str, time: str = "start", end: str = "end", value: str = "value") -> DataFrame:

@@ -501,7 +501,7 @@ def iso8601z(spark, d):
 
 
 def queries() -> dict:
-    from gridlake.plans import models, sensors  # noqa: F401 - they add their queries
+    from gridlake.plans import models, registry, relational, sensors  # noqa: F401 - they add their queries
 
     return QUERIES
 
