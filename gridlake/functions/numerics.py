@@ -20,19 +20,43 @@ def quantile_regression(x: np.ndarray, y: np.ndarray, q: float, rounds: int = 60
     return beta
 
 
-def nonnegative_least_squares(x: np.ndarray, y: np.ndarray, positive: np.ndarray, ridge: float = 0.0, rounds: int = 2000) -> np.ndarray:
-    """Least squares with the marked coefficients kept at 0 or above, by coordinate descent."""
-    a, b = x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y
-    beta = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        old = beta.copy()
-        for j in range(len(beta)):
-            if a[j, j] > 0:
-                step = (b[j] - a[j] @ beta + a[j, j] * beta[j]) / a[j, j]
-                beta[j] = max(step, 0.0) if positive[j] else step
-        if np.max(np.abs(beta - old)) < 1e-12 * (1 + np.max(np.abs(beta))):
+def nonnegative_least_squares(x: np.ndarray, y: np.ndarray, positive: np.ndarray, ridge: float = 0.0) -> np.ndarray:
+    """Least squares with the marked coefficients kept at 0 or above."""
+    return bounded_solution(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y, positive)
+
+
+def bounded_solution(a: np.ndarray, b: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """The coefficients that minimise beta' a beta / 2 - b' beta, the marked ones at 0 or above, by active sets; columns of zeros get 0."""
+    scale = np.where(np.diag(a) > 0, np.sqrt(np.maximum(np.diag(a), 0)), 1.0)
+    a, b = a / np.outer(scale, scale), b / scale
+    used = np.diag(a) > 0
+
+    def solved(on: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(b))
+        if on.any():
+            out[on] = np.linalg.lstsq(a[np.ix_(on, on)], b[on], rcond=1e-13)[0]
+        return out
+
+    on = used & ~positive
+    beta = solved(on)
+    for _ in range(10 * len(b)):
+        pull = b - a @ beta
+        ask = used & positive & ~on & (pull > 1e-12 * max(1.0, np.abs(b).max(initial=0.0)))
+        if not ask.any():
             break
-    return beta
+        on[np.flatnonzero(ask)[np.argmax(pull[ask])]] = True
+        while True:
+            z = solved(on)
+            low = on & positive & (z <= 0)
+            if not low.any():
+                beta = z
+                break
+            # Go towards z until the first bounded coefficient reaches 0, which is then left out.
+            step = np.min(beta[low] / np.maximum(beta[low] - z[low], 1e-300))
+            beta = np.where(on, beta + step * (z - beta), 0.0)
+            on &= ~(positive & (beta <= 1e-15))
+            beta[~on] = 0.0
+    return beta / scale
 
 
 def recursive_least_squares(x: np.ndarray, y: np.ndarray, forgetting: float, start: float = 1e4) -> np.ndarray:

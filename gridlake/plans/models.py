@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.operators import models as m
 from gridlake.operators import profiles as pf
 from gridlake.operators.features import lag_components
-from gridlake.operators.missing import no_number
+from gridlake.operators.missing import PLACEHOLDER_NUMBERS, no_number
 from gridlake.operators.tuning import Setting, optimise
 from gridlake.plans.catalogue import HOURS, K, hours, query, r, table
 
@@ -16,7 +18,7 @@ from gridlake.plans.catalogue import HOURS, K, hours, query, r, table
 def readings(spark, d) -> DataFrame:
     """Readings with a measured consumption and temperature, and model terms."""
     b = table(spark, d, "building_hourly").where(~no_number(F.col("qe")) & ~no_number(F.col("temperature")) & (F.col("qe") >= 0) & F.abs("temperature").between(0, 60))
-    one = b.groupBy("sensorid", F.col("reading_ts").alias("time")).agg(F.first("qe").alias("value"), F.first("temperature").alias("temperature"))
+    one = b.groupBy("sensorid", F.col("reading_ts").alias("time")).agg(F.min(F.struct("reading_id", "qe", "temperature")).alias("m")).select("sensorid", "time", F.col("m.qe").alias("value"), F.col("m.temperature").alias("temperature"))
     t = F.col("temperature")
     return one.select("*", F.lit(1.0).alias("one"), F.greatest(16 - t, F.lit(0.0)).alias("heat"), F.greatest(t - 24, F.lit(0.0)).alias("cool"), F.hour("time").cast("string").alias("hour"))
 
@@ -45,7 +47,52 @@ def glm_gamma(spark, d):
 @query()
 def random_forest(spark, d):
     x = readings(spark, d)
-    return m.regression_metrics(m.predict(m.fit_forest(x, [m.Feature("t", expr="temperature"), m.Feature("h", expr="CAST(hour AS INT)")], "value", trees=20), x), "value", "predicted", S)
+    return m.regression_metrics(m.predict(m.fit_forest(x, [m.Feature("t", expr="temperature"), m.Feature("h", expr="CAST(hour AS INT)"), m.Feature("d", expr="weekday(time)"), m.Feature("heat", expr="heat"), m.Feature("cool", expr="cool")], "value"), x), "value", "predicted", S)
+
+
+_ONE = f"x AS (SELECT sensorid, arg_min(qe, reading_id)::DOUBLE AS y, arg_min(temperature, reading_id)::DOUBLE AS t FROM building_hourly WHERE {{}} GROUP BY sensorid, reading_ts)".format(
+    " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND {c} NOT IN ({', '.join(f'{x}::DOUBLE' for x in PLACEHOLDER_NUMBERS)})" for c in ("qe", "temperature")) + " AND qe >= 0 AND temperature BETWEEN -60 AND 60 AND abs(temperature) BETWEEN 0 AND 60"
+)
+
+
+@query(f"WITH {_ONE} SELECT sensorid, unnest(['one', 'temperature']) AS term, round(unnest([regr_intercept(y, t), regr_slope(y, t)]), 4) + 0.0 AS coefficient FROM x GROUP BY 1 HAVING regr_slope(y, t) IS NOT NULL", digits=4)
+def linear_coefficients(spark, d):
+    got = m.penalised_linear(readings(spark, d), S, ["one", "temperature"], "value")
+    several = readings(spark, d).groupBy(*S).agg((F.var_pop("temperature") > 0).alias("varies")).where("varies").select(*S)
+    return got.join(several, S)
+
+
+_TUNE = f"""{HOURS}, n AS (SELECT series_id, value AS y, hour(time) AS hr, row_number() OVER (PARTITION BY series_id ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS c FROM h), f AS (SELECT *, unnest(range(0, ((c - 288) // 120 + 1)::BIGINT)) AS fold FROM n),
+p AS (SELECT *, CASE WHEN i < 240 + 120 * fold THEN 'train' WHEN i < 288 + 120 * fold THEN 'test' END AS part, unnest([6, 12, 18]) AS base FROM f), x AS (SELECT *, greatest(hr - base, 0)::DOUBLE AS x FROM p WHERE part IS NOT NULL),
+b AS (SELECT series_id, fold, base, regr_slope(y, x) AS s, regr_intercept(y, x) AS a FROM x WHERE part = 'train' GROUP BY ALL), e AS (SELECT series_id, base, count(DISTINCT fold) AS folds, sqrt(avg(pow(y - a - s * x, 2))) AS rmse FROM x JOIN b USING (series_id, fold, base) WHERE part = 'test' GROUP BY ALL)"""
+
+
+def _tuned(spark, d):
+    terms = lambda g: {"one": F.lit(1.0), "late": F.greatest(F.hour("time") - g["base"], F.lit(0))}
+    return m.tune_linear(hours(spark, d), K, m.input_grid({"base": [6, 12, 18]}), terms, "value", 240, 48, 119)
+
+
+@query(f"WITH {_TUNE} SELECT series_id, '{{\"base\": ' || base || '}}' AS params, folds, {r('rmse', '\"RMSE\"', 4)} FROM e", digits=4)
+def tuning_scores(spark, d):
+    return _tuned(spark, d)[0]
+
+
+@query(f"WITH {_TUNE} SELECT series_id, '{{\"base\": ' || arg_min(base, rmse) || '}}' AS params, {r('min(rmse)', '\"RMSE\"', 4)} FROM e GROUP BY 1", digits=4)
+def tuning_best(spark, d):
+    return _tuned(spark, d)[1]
+
+
+@query()
+def arx_boxcox(spark, d):
+    return m.autoregressive(readings(spark, d).withColumn("off", F.weekday("time") >= 5), S, ["heat", "cool"], "value", [1, 24], 24, low=0.0, boxcox=0.5, status="off")
+
+
+@query()
+def glm_recursive(spark, d):
+    lags = [1, 24]
+    x = lag_components(readings(spark, d), S, ["value"], lags)
+    model = m.fit_linear(x.dropna(subset=["value_l1", "value_l24"]), [*TERMS, *m.lag_terms("value", lags)], "value")
+    return m.recursive_forecast(readings(spark, d), lambda df: m.predict(model, df), S, "value", lags, 6, low=0.0)
 
 
 @query()
@@ -75,7 +122,7 @@ def disaggregate(spark, d):
 @query()
 def prediction_intervals(spark, d):
     x = readings(spark, d).select("sensorid", "time", F.col("value").alias("predicted"), (F.col("value") * 0.1).alias("sigma"))
-    return m.prediction_intervals(x, S, "P1D", draws=50)
+    return m.prediction_intervals(x, S, "P1D")
 
 
 @query()
@@ -102,13 +149,23 @@ def change_point(spark, d):
     return pf.change_points(readings(spark, d), S, "UTC")
 
 
-@query()
+@query("SELECT r_regionkey::BIGINT AS r_regionkey, CASE WHEN r_regionkey < 4 THEN epoch(DATE '2023-03-05' + (r_regionkey * 9)::INT)::BIGINT ELSE -1 END AS start, CASE WHEN r_regionkey < 4 THEN epoch(DATE '2023-05-20' + (r_regionkey * 6)::INT)::BIGINT ELSE -1 END AS \"end\" FROM region")
 def disruptive_period(spark, d):
-    b = readings(spark, d).join(table(spark, d, "building_hourly").select("sensorid", "buildingsubject").distinct(), "sensorid")
-    return m.disruptive_period(b, ["buildingsubject"], ("2023-03-01", "2023-06-01"), ("2023-09-01", "2023-12-01"), "UTC", step_days=30)
-
-
-@query()
+    """Two years of days per region with a planted drop, which begins and ends later by region; the last region has none."""
+    days = table(spark, d, "region").select("r_regionkey", F.explode(F.sequence(F.lit("2022-01-01").cast("date"), F.lit("2023-12-31").cast("date"))).alias("day"))
+    n = F.dayofyear("day")
+    t = 15 - 10 * F.cos(2 * math.pi * n / 365)
+    start, end = F.date_add(F.lit("2023-03-05").cast("date"), F.col("r_regionkey") * 9), F.date_add(F.lit("2023-05-20").cast("date"), F.col("r_regionkey") * 6)
+    drop = (F.col("day") >= start) & (F.col("day") <= end) & (F.col("r_regionkey") < 4)
+    noise = (F.pmod(F.xxhash64("r_regionkey", "day"), F.lit(1000)) - 500) / 100.0
+    v = (100 + 4 * F.greatest(16 - t, F.lit(0.0)) + 3 * F.greatest(t - 22, F.lit(0.0)) - F.when(F.weekday("day") >= 5, 15.0).otherwise(0.0)) * F.when(drop, 0.5).otherwise(1.0) + noise
+    rows = days.select("r_regionkey", F.col("day").cast("timestamp").alias("time"), t.alias("temperature"), v.alias("value"))
+    got = m.disruptive_period(rows, ["r_regionkey"], ("2023-02-15", "2023-05-01"), ("2023-05-01", "2023-07-15"), "UTC")
+    return got.select("r_regionkey", *[F.coalesce(F.unix_seconds(c), F.lit(-1)).alias(c) for c in ("start", "end")])
+
+
+@query(f"""WITH {HOURS}, n AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS c FROM h), f AS (SELECT *, unnest(range(0, ((c - 124) // 24 + 1)::BIGINT)) AS fold FROM n),
+p AS (SELECT series_id, fold, CASE WHEN i < 100 + 24 * fold THEN 'train' WHEN i < 124 + 24 * fold THEN 'test' END AS part FROM f) SELECT series_id, fold, part, count(*) AS n FROM p WHERE part IS NOT NULL GROUP BY ALL""")
 def time_slices(spark, d):
     return m.time_slices(hours(spark, d), K, 100, 24, 23).groupBy("series_id", "fold", "part").agg(F.count("*").alias("n"))
 
@@ -128,5 +185,5 @@ def ga_tuning(spark, d):
         fit = a @ beta
         return float((sums.q - 2 * fit * sums.s + w * fit**2).sum() / w.sum())
 
-    best, score = optimise(fitness, [Setting("heating", "integer", 10, 21), Setting("cooling", "integer", 18, 28)], population=20, generations=15)
+    best, score = optimise(fitness, [Setting("heating", "integer", 10, 21), Setting("cooling", "integer", 18, 28)])
     return spark.createDataFrame([(float(best["heating"]), float(best["cooling"]), score)], "heating double, cooling double, mse double")

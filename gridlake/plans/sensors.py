@@ -26,11 +26,9 @@ def sensor_intervals_avg(spark, d):
     return se.intervals_to_grid(_intervals(spark, d), K, "PT1H", "AVG")
 
 
-@query(f"WITH {HOURS}, l AS (SELECT *, lead(time) OVER (PARTITION BY series_id ORDER BY time) AS nt FROM h) SELECT series_id, epoch(time)::BIGINT AS start, epoch(least(nt, time + INTERVAL 2 HOUR))::BIGINT AS \"end\", {r('value', 'value')} FROM l WHERE nt IS NOT NULL")
+@query(f"WITH {HOURS}, l AS (SELECT *, lead(time) OVER (PARTITION BY series_id ORDER BY time) AS nt FROM h) SELECT series_id, epoch(time)::BIGINT AS start, epoch(least(coalesce(nt, time + INTERVAL 2 HOUR), time + INTERVAL 2 HOUR))::BIGINT AS \"end\", {r('value', 'value')} FROM l")
 def sensor_on_change(spark, d):
-    got = se.interval_ends(_intervals(spark, d), K, F.lit(True), F.lit(False), "PT2H")
-    last = hours(spark, d).groupBy("series_id").agg(F.max("time").alias("start"))
-    return got.join(last, ["series_id", "start"], "left_anti")
+    return se.interval_ends(_intervals(spark, d), K, F.lit(True), F.lit(False), "PT2H")
 
 
 @query("SELECT sensorid, max(registered_ts) IS NOT NULL AS known, arg_max(timeseriesfrequency, CASE WHEN timeseriesfrequency IS NOT NULL THEN registered_ts END) AS timeseriesfrequency FROM harmonised_reading WHERE sensorid IS NOT NULL GROUP BY 1")
