@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +129,88 @@ def turtle_head(namespaces: dict[str, str]) -> str:
     return "".join(f"@prefix {k}: <{v}> .\n" for k, v in namespaces.items())
 
 
+def write_turtle(statements: DataFrame, namespaces: dict[str, str], path: str) -> None:
+    """Write turtle() as text files, each of which begins with the prefixes and so can be read alone."""
+    head = turtle_head(namespaces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            if b.num_rows:
+                values = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([head + values[0], *values[1:]] if first else values)], ["value"])
+                first = False
+
+    statements.mapInArrow(run, "value string").write.text(path)
+
+
+_TURTLE = re.compile(
+    r"""\s+|\#[^\n]*|(?P<uri><[^>]*>)|(?P<text>\"\"\".*?\"\"\"|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|\^\^(?P<kind><[^>]*>|[\w\-]*:[\w\-.]*\w)|@(?P<at>prefix|base)\b|@(?P<lang>[A-Za-z\-]+)"""
+    r"""|(?P<number>[+\-]?\d+(?:\.\d+)?(?:[eE][+\-]?\d+)?)|(?P<name>_?[\w\-]*:(?:[\w\-.]*[\w\-])?)|(?P<word>a|true|false|PREFIX|BASE)\b|(?P<mark>[;,.])""",
+    re.S,
+)
+_XSD = "http://www.w3.org/2001/XMLSchema#"
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", '"': '"', "'": "'", "\\": "\\"}
+
+
+def parse_turtle(text: str) -> Iterator[tuple]:
+    """Triples of a Turtle document: prefixes, base, a, lists by ; and , and plain, typed and tagged literals. Collections and [ ] are errors."""
+    names, base = {}, ""
+    at, terms, literal = 0, [], None
+
+    def full(term: str) -> str:
+        if term[0] == "<":
+            return term[1:-1] if "://" in term or ":" in term else base + term[1:-1]
+        if term.startswith("_:"):
+            return term
+        prefix, _, rest = term.partition(":")
+        return names[prefix] + rest
+
+    while at < len(text):
+        m = _TURTLE.match(text, at)
+        if not m:
+            raise ValueError(f"not understood: {text[at : at + 40]!r}")
+        at, kind, word = m.end(), m.lastgroup, m.group()
+        if kind in ("at",) or word in ("PREFIX", "BASE"):
+            head = re.compile(r"\s*(?:([\w\-]*):)?\s*<([^>]*)>\s*\.?").match(text, at)
+            if word.lower().endswith("base"):
+                base = head.group(2)
+            else:
+                names[head.group(1)] = head.group(2)
+            at = head.end()
+        elif kind == "kind" and literal is not None:
+            terms[-1] = (terms[-1][0], "literal", full(m.group("kind")))
+        elif kind in ("uri", "name"):
+            terms.append((full(word), "uri", None))
+        elif kind == "text":
+            body = word[3:-3] if word.startswith('"""') else word[1:-1]
+            body = re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", lambda e: _ESCAPES.get(e.group(3), e.group(3)) if e.group(3) else chr(int(e.group(1) or e.group(2), 16)), body, flags=re.S)
+            terms.append((body, "literal", None))
+        elif kind == "number":
+            terms.append((word, "literal", _XSD + ("integer" if re.fullmatch(r"[+\-]?\d+", word) else "double" if "e" in word.lower() else "decimal")))
+        elif kind == "word":
+            terms.append((TYPE, "uri", None) if word == "a" else (word, "literal", _XSD + "boolean"))
+        elif kind == "mark":
+            if len(terms) == 3:
+                (s, _, _), (p, _, _), (o, o_kind, datatype) = terms
+                yield s, p, o, o_kind, datatype
+            elif terms and not (word in ";." and len(terms) == 1):
+                raise ValueError(f"{len(terms)} terms before {word!r}")
+            terms = terms[: {",": 2, ";": 1, ".": 0}[word]]
+        literal = terms[-1] if terms and terms[-1][1] == "literal" else None
+
+
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of Turtle files. A file is read by one task, since its prefixes hold to its end: write many."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for text in pdf["value"]:
+                yield pd.DataFrame(parse_turtle(text), columns=["s", "p", "o", "o_type", "datatype"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, SCHEMA)
+
+
 def hierarchy_paths(c: Column, sep: str = ".") -> Column:
     """All prefixes of a dotted name: a, a.b, a.b.c."""
     parts = F.split(c, re.escape(sep))

@@ -190,7 +190,9 @@ def static_regex(spark, d):
     return table(spark, d, "part").select("p_partkey", ou.static_regexp(F.col("p_type"), p).alias("hit"), ou.static_regexp(F.col("p_type"), p, True).alias("miss"))
 
 
-@query()
+@query(f"""WITH {HOURS}, l AS (SELECT series_id, timezone('Europe/Madrid', timezone('UTC', time)) AS t, value FROM h), x AS (SELECT series_id, t::DATE AS date, hour(t) AS h, sum(value) AS v FROM l GROUP BY ALL),
+s AS (SELECT *, sum(v) OVER (PARTITION BY series_id, date) AS total FROM x), y AS (SELECT series_id, date, list((h, round(v / total * 100, 5)) ORDER BY h) AS k, max(total) AS total FROM s GROUP BY ALL),
+z AS (SELECT *, quantile_cont(total, 0.1) OVER (PARTITION BY series_id) AS q, {', '.join(f'coalesce(lag(k, {n}) OVER w = k, FALSE) AS s{n}' for n in (1, 3, 7))} FROM y WINDOW w AS (PARTITION BY series_id ORDER BY date)) SELECT series_id, strftime(date, '%Y-%m-%d') AS date, (s1 OR s3 OR s7) AND total > q AS profiled FROM z""")
 def profiled_days(spark, d):
     return ou.profiled_days(hours(spark, d), K, "Europe/Madrid")
 
@@ -200,7 +202,13 @@ def outlier_calendar_model(spark, d):
     return ou.calendar_model_outliers(hours(spark, d), K, window="P1M")
 
 
-@query()
+_TOPS = ", ".join(f"max(CASE WHEN isodow(date) = {k + 1} THEN value END) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 44 PRECEDING AND 45 FOLLOWING) AS m{k}" for k in range(7))
+_HELD = ", ".join(f"last_value(m{k} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m{k}" for k in range(7))
+_ALL = ", ".join(f"m{k}" for k in range(7))
+
+
+@query(f"""WITH {HOURS}, y AS (SELECT series_id, time::DATE AS date, avg(value) * 24 AS value FROM h GROUP BY ALL), t AS (SELECT *, {_TOPS} FROM y), k AS (SELECT series_id, date, value, {_HELD} FROM t),
+l AS (SELECT *, CASE WHEN (greatest({_ALL}) - least({_ALL})) / least({_ALL}) > 0.5 THEN least({_ALL}) ELSE 0 END AS limit_ FROM k) SELECT series_id, strftime(date, '%Y-%m-%d') AS date, {r('value', 'value')}, {r('limit_', '"limit"')}, value <= limit_ AS low FROM l""")
 def outlier_low_days(spark, d):
     return ou.low_days(hours(spark, d), K, "UTC")
 
@@ -316,7 +324,8 @@ def boxcox(spark, d):
     return table(spark, d, "events").select("event_id", fe.boxcox(v, 0.3).alias("y"), fe.boxcox_inverse(fe.boxcox(v, 0.3), 0.3).alias("x"), fe.boxcox(v, 0).alias("l"))
 
 
-@query()
+@query("""WITH g AS (SELECT unnest(list_transform(range(81), lambda i: -2 + 4 * i / 80.0)) AS l), x AS (SELECT value FROM events WHERE value > 0), n AS (SELECT count(*) AS n, sum(ln(value)) AS s FROM x),
+v AS (SELECT l, var_pop(CASE WHEN abs(l) < 1e-9 THEN ln(value) ELSE (pow(value, l) - 1) / l END) AS v FROM g, x GROUP BY l) SELECT round(arg_max(l, -(n / 2.0) * ln(v) + (l - 1) * s), 6) + 0.0 AS lambda FROM v, n""")
 def boxcox_lambda(spark, d):
     e = table(spark, d, "events")
     return e.agg(F.lit(fe.boxcox_lambda(e, "value")).alias("lambda"))
@@ -465,7 +474,8 @@ def graph_ntriples(spark, d):
     return gr.ntriples(triples(spark, d).where("p = 'x:name'"))
 
 
-@query()
+@query("""SELECT 'n:' || n_nationkey || ' <x:in> <http://x.org/r#' || n_regionkey || '> ;\n    <x:name> "' || n_name || '" ;\n    a <x:Nation> .' AS value FROM nation
+UNION ALL SELECT 'c:' || c_custkey || ' <x:balance> "' || c_acctbal || '"^^<http://www.w3.org/2001/XMLSchema#double> ;\n    <x:of> n:' || c_nationkey || ' ;\n    <x:segment> "' || c_mktsegment || '" ;\n    a <x:Customer> .' FROM customer""")
 def graph_turtle(spark, d):
     return gr.turtle(triples(spark, d), {"n": "http://x.org/n#", "c": "http://x.org/c#"})
 
@@ -501,7 +511,7 @@ def iso8601z(spark, d):
 
 
 def queries() -> dict:
-    from gridlake.plans import models, registry, relational, sensors  # noqa: F401 - they add their queries
+    from gridlake.plans import models, registry, relational, sensors, storage  # noqa: F401 - they add their queries
 
     return QUERIES
 

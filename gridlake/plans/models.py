@@ -55,7 +55,7 @@ _ONE = f"x AS (SELECT sensorid, arg_min(qe, reading_id)::DOUBLE AS y, arg_min(te
 )
 
 
-@query(f"WITH {_ONE} SELECT sensorid, unnest(['one', 'temperature']) AS term, round(unnest([regr_intercept(y, t), regr_slope(y, t)]), 4) + 0.0 AS coefficient FROM x GROUP BY 1 HAVING regr_slope(y, t) IS NOT NULL", digits=4)
+@query(f"WITH {_ONE} SELECT sensorid, unnest(['one', 'temperature']) AS term, round(unnest([regr_intercept(y, t), regr_slope(y, t)]), 3) + 0.0 AS coefficient FROM x GROUP BY 1 HAVING regr_slope(y, t) IS NOT NULL", digits=3)
 def linear_coefficients(spark, d):
     got = m.penalised_linear(readings(spark, d), S, ["one", "temperature"], "value")
     several = readings(spark, d).groupBy(*S).agg((F.var_pop("temperature") > 0).alias("varies")).where("varies").select(*S)

@@ -37,7 +37,9 @@ def sensor_metadata(spark, d):
     return m.select("sensorid", F.col("registered_ts").isNotNull().alias("known"), "timeseriesfrequency")
 
 
-@query()
+@query("""WITH z AS (SELECT lower(name) AS spelt, min(name) AS zone FROM pg_timezone_names() WHERE name NOT IN ('Factory', 'localtime') GROUP BY 1 UNION ALL SELECT 'z', 'UTC'),
+m AS (SELECT sensorid, measuredproperty, registered_ts, replace(lower(trim(regexp_replace(addresstimezone, '\\s+', ' ', 'g'))), ' ', '_') AS spelt FROM harmonised_reading WHERE sensorid IS NOT NULL)
+SELECT sensorid, coalesce(min(CASE WHEN spelt IN ('utc', 'gmt') THEN 'UTC' ELSE zone END), 'UTC') AS zone, CASE WHEN regexp_matches(arg_max(measuredproperty, CASE WHEN measuredproperty IS NOT NULL THEN registered_ts END), 'Temperature|HumidityRatio|Power') THEN 'AVG' ELSE 'SUM' END AS aggregation FROM m LEFT JOIN z USING (spelt) GROUP BY 1""")
 def sensor_zones(spark, d):
     return se.sensor_metadata(table(spark, d, "harmonised_reading")).select("sensorid", "zone", se.aggregation_of(F.col("measuredproperty")).alias("aggregation"))
 

@@ -54,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
 _WRITTEN: dict[str, SparkSession] = {}
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> str:
+    """The path, which will be deleted when the process ends."""
+    _WRITTEN[path] = spark
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a cut() that nothing will read again."""
     _delete(getattr(df, "_gridlake_path", ""))

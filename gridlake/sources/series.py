@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import urllib.request
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,27 @@ def write_json_series(df: DataFrame, path: str, key: str = "id") -> None:
     out.write.mode("overwrite").partitionBy(key).text(path)
 
 
+def read_kpi_series(spark: SparkSession, path: str, hashes: list[str] | None = None) -> DataFrame:
+    """(hash, start, end, value, isReal) of JSON files of indicator series, of the given hashes only, in files named after one of them or not."""
+    return read_json_series(spark, path, hashes).withColumnRenamed("sensor_id", "hash")
+
+
+def holiday_client(base: str) -> Callable[[int, str], list[dict]]:
+    """A client for holiday_table(): the JSON list at {base}/{year}/{country}, of a public holiday service or a copy of its files."""
+
+    def fetch(year: int, country: str) -> list[dict]:
+        with urllib.request.urlopen(f"{base.rstrip('/')}/{year}/{country}", timeout=30) as got:
+            return json.load(got)
+
+    return fetch
+
+
 class KeyedStore:
-    """A table of documents, one per key: writing replaces the keys it brings. A version is switched by its pointer file."""
+    """A table of documents, one per key: writing replaces the keys it brings.
+
+    A version is switched by its pointer file. A second writer finds the lock file of the first and
+    fails; a lock left by a writer that died has to be removed by hand.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str) -> None:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
@@ -63,6 +84,15 @@ class KeyedStore:
 
     def upsert(self, docs: DataFrame) -> None:
         """Of several documents of one key the one that sorts last is kept."""
+        p, fs = self._pointer()
+        lock = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/writing.lock")
+        fs.create(lock, False).close()  # raises if there is one
+        try:
+            self._replace(docs)
+        finally:
+            fs.delete(lock, False)
+
+    def _replace(self, docs: DataFrame) -> None:
         rest = [c for c in docs.columns if c != self.key]
         docs = docs.groupBy(self.key).agg(F.max(F.struct(*rest)).alias("_d")).select(self.key, "_d.*") if rest else docs.distinct()
         old, version = self.read(), f"v-{uuid.uuid4().hex}"
