@@ -46,18 +46,20 @@ def fourier(c: Column, name: str, harmonics: int) -> list[Column]:
     return [*both, F.lit(1.0).alias(f"{name}_fs_int")]
 
 
-def fourier_components(df: DataFrame, features: list[str], harmonics: int, mask: Column | None = None, limits: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, float]]:
-    """Fourier columns of features divided by their maximum plus one; the maxima are returned for later data.
+def fourier_components(df: DataFrame, features: list[str], harmonics: int, mask: Column | None = None, limits: dict[str, tuple[float, float]] | None = None, ranged: bool = False) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """Fourier columns of features divided by their maximum plus one or, if ``ranged``, scaled from their minimum to their maximum; the limits are returned for later data.
 
     Where ``mask`` is TRUE the scaled feature is 0 before the series is built.
     """
     require(df, *features)
     if limits is None:
-        row = df.agg(*[F.max(F.col(f).cast("double")).alias(f) for f in features]).first()
-        limits = {f: (row[f] if row[f] is not None else 0.0) for f in features}
+        row = df.agg(*[g(F.col(f).cast("double")).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))]).first()
+        # x is scaled as (x - low) / width.
+        limits = {f: ((row[f"lo_{f}"] or 0.0, (row[f"hi_{f}"] or 0.0) - (row[f"lo_{f}"] or 0.0) or 1.0) if ranged else (0.0, (row[f"hi_{f}"] or 0.0) + 1)) for f in features}
     cols = []
     for f in features:
-        x = F.col(f).cast("double") / (limits[f] + 1)
+        low, width = limits[f]
+        x = (F.col(f).cast("double") - low) / width
         cols += fourier(F.when(mask, 0.0).otherwise(x) if mask is not None else x, f, harmonics)
     return df.select("*", *cols), limits
 

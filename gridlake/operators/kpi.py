@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.period import Period, bucket, bucket_seconds, iso_z, seconds
@@ -55,3 +55,23 @@ def longitudinal_indicators(df: DataFrame, keys: list[str], indicators: dict[str
     value = F.col("_m") * F.col("_n")
     ident = F.sha2(F.concat_ws("~", *[F.col(k).cast("string") for k in keys], "indicator", "frequency"), 256)
     return got.select(*keys, "indicator", "frequency", iso_z(F.col("start")).alias("start"), iso_z(end).alias("end"), value.alias("value"), (F.lit(modelled) if not modelled else F.col("_k") == F.col("_n")).alias("isReal") if modelled else F.lit(None).cast("boolean").alias("isReal"), ident.alias("id"))
+
+
+def allocate(df: DataFrame, keys: list[str], weight: Column, value: str) -> DataFrame:
+    """df with ``share``, the row's weight over its group's, and ``allocated``, that part of ``value``; equal shares where the weights have no finite positive sum."""
+    require(df, value, *keys)
+    w = Window.partitionBy(*keys)
+    rows = df.withColumn("_w", weight.cast("double"))
+    total = F.sum("_w").over(w)
+    good = is_finite(total) & (total > 0) & (F.count("_w").over(w) == F.count(F.lit(1)).over(w))
+    share = F.when(good, F.col("_w") / F.when(good, total)).otherwise(1 / F.count(F.lit(1)).over(w))
+    return rows.withColumn("share", share).withColumn("allocated", F.col(value) * F.col("share")).drop("_w")
+
+
+def indicator_triples(rows: DataFrame, keys: list[str], ns: str) -> DataFrame:
+    """Triples of longitudinal_indicators(): each series a subject by its id, with its indicator, frequency and keys."""
+    from gridlake.operators.graph import SCHEMA, add_item
+
+    none = rows.sparkSession.createDataFrame([], SCHEMA)
+    one = rows.select("id", "indicator", "frequency", *keys).distinct().withColumn("id", F.concat(F.lit(ns), "id"))
+    return add_item(none, one, "id", [ns + "KeyPerformanceIndicatorAssessment"], {ns + c: c for c in ("indicator", "frequency", *keys)}, {})

@@ -96,7 +96,7 @@ def profiled_days(df: DataFrame, keys: list[str], tz: str, time: str = "time", v
 
 
 def calendar_model_outliers(
-    df: DataFrame, keys: list[str], features: tuple[str, ...] = ("H", "HOL"), tz: str = "UTC", window: str = "P1Y", lower: float = 10.0, upper: float = 90.0, mode: str = "upperAndLower", margin: float = 30.0, harmonics: int = 3, holidays: list[str] | None = None, log: bool = False, time: str = "time", value: str = "value"
+    df: DataFrame, keys: list[str], features: tuple[str, ...] = ("H", "HOL"), tz: str = "UTC", window: str = "P1Y", lower: float = 10.0, upper: float = 90.0, mode: str = "upperAndLower", margin: float = 30.0, harmonics: int = 3, holidays: list[str] | None = None, log: bool = False, time: str = "time", value: str = "value", window_columns: list[str] | None = None, bad_days: list[str] | None = None, profiled: bool = False
 ) -> DataFrame:
     """(keys..., time, value, lower, upper, outlier) by quantile regression on calendar features, per series and window.
 
@@ -104,11 +104,18 @@ def calendar_model_outliers(
     weekend or holiday; the design is their product. Bounds are the regressions at the ``lower``
     and ``upper`` percent, widened by ``margin`` percent. A window is one task: choose it bounded.
     Where a fit is impossible the value itself is the prediction. NULL values are no outliers.
+    ``window_columns``: the values of these columns tell windows apart instead of time. All values of
+    the local days ``bad_days`` (ISO dates), and with ``profiled`` those of profiled_days(), are
+    outliers too.
     """
-    require(df, time, value, *keys)
+    require(df, time, value, *keys, *(window_columns or []))
     days = set(holidays or [])
     local = F.from_utc_timestamp(F.col(time).cast("timestamp"), tz)
-    rows = df.select(*keys, F.col(time).cast("timestamp").alias("time"), F.col(value).cast("double").alias("value"), local.alias("_l"), bucket(F.col(time).cast("timestamp"), window, tz).alias("_w"))
+    rows = df.select(*keys, F.col(time).cast("timestamp").alias("time"), F.col(value).cast("double").alias("value"), local.alias("_l"), (F.to_json(F.struct(*window_columns)) if window_columns else bucket(F.col(time).cast("timestamp"), window, tz)).alias("_w"), (F.date_format(local, "yyyy-MM-dd").isin(bad_days) if bad_days else F.lit(False)).alias("_bad"))
+    if profiled:
+        days_ = profiled_days(df, keys, tz, time, value).where("profiled").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("date").alias("_date"), F.lit(True).alias("_copy"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        rows = rows.join(days_, [*same, F.to_date("_l") == F.col("_date")], "left").withColumn("_bad", F.col("_bad") | F.coalesce("_copy", F.lit(False))).select(*keys, "time", "value", "_l", "_w", "_bad")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf["_l"]
@@ -138,7 +145,7 @@ def calendar_model_outliers(
         with np.errstate(invalid="ignore"):
             under, over = v < lo, v > hi
         bad = {"lower": under, "upper": over, "upperAndLower": under | over}[mode]
-        return pdf[[*keys, "time", "value"]].assign(lower=lo, upper=hi, outlier=bad & ok)
+        return pdf[[*keys, "time", "value"]].assign(lower=lo, upper=hi, outlier=(bad | pdf["_bad"].to_numpy(dtype=bool)) & ok)
 
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return rows.where("time IS NOT NULL").groupBy(*keys, "_w").applyInPandas(fit, f"{schema}, time timestamp, value double, lower double, upper double, outlier boolean")

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.functions.numerics import density_valleys, eigengap, spectral_clusters, spline_slope, whole_day
+from gridlake.functions.numerics import density_valleys, eigengap, quantile_regression, spectral_clusters, spline_slope, whole_day
+from gridlake.functions.period import seconds
 from gridlake.runtime import cut, require
 
 
@@ -75,14 +76,15 @@ def _centres(c: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[np.ndarra
     return np.stack([np.average(c[k], axis=0, weights=n[k]) for k in kinds]), np.array([n[k].sum() for k in kinds])
 
 
-def cluster_days(df: DataFrame, group: str, id_column: str, curve: str, neighbours: int = 7, k_min: int = 2, k_max: int = 10, block: int = 512) -> DataFrame:
+def cluster_days(df: DataFrame, group: str, id_column: str, curve: str, neighbours: int = 7, k_min: int = 2, k_max: int = 10, block: int = 512, features: int | None = None) -> DataFrame:
     """(group, id_column, block, cluster): spectral clusters of each building's daily curves.
 
     Similarity, nearest-neighbour affinity, the number of clusters at the largest gap of the
     Laplacian's eigenvalues, spectral clustering. Days of 23 or 25 hours and NULL hours are brought
     to 24 hours. The eigenproblem is cubic in its days, so a building with over ``block`` days is
     clustered by blocks; the blocks' centres are clustered once more, and each day takes the nearest
-    of the centres so found: a label means the same in all blocks of a building.
+    of the centres so found: a label means the same in all blocks of a building. With ``features``
+    the arrays hold so many scaled features of a day instead, and are taken as they are.
     """
     require(df, group, id_column, curve)
     kind, gkind = df.schema[id_column].dataType.simpleString(), df.schema[group].dataType.simpleString()
@@ -90,11 +92,15 @@ def cluster_days(df: DataFrame, group: str, id_column: str, curve: str, neighbou
     rows = df.join(size, group).withColumn("block", F.pmod(F.xxhash64(id_column), F.col("_n")).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([whole_day(c) for c in pdf[curve]])
-        ok = np.isfinite(x).all(1) & (np.nan_to_num(x).sum(1) != 0)
+        if features is None:
+            x = np.array([whole_day(c) for c in pdf[curve]])
+            ok = np.isfinite(x).all(1) & (np.nan_to_num(x).sum(1) != 0)
+        else:
+            x = np.array([np.full(features, np.nan) if c is None else np.array(c, float) for c in pdf[curve]]).reshape(-1, features)
+            ok = np.isfinite(x).all(1)
         label = pd.Series([None] * len(pdf), dtype=object)
         shape = pd.Series([None] * len(pdf), dtype=object)
-        y = x[ok] / x[ok].sum(1, keepdims=True)
+        y = x[ok] if features is not None else x[ok] / x[ok].sum(1, keepdims=True)
         one = pdf["_n"].iloc[0] == 1
         if ok.sum() > k_min + 1:
             label[np.flatnonzero(ok)] = [f"{v + 1:02d}" for v in day_kinds(y, neighbours, k_min, k_max)]
@@ -106,7 +112,7 @@ def cluster_days(df: DataFrame, group: str, id_column: str, curve: str, neighbou
 
     schema = f"`{group}` {gkind}, `{id_column}` {kind}, block int, cluster string"
     got = cut(rows.groupBy(group, "block").applyInPandas(run, f"{schema}, _n bigint, _shape array<double>"))
-    mean = F.array(*[F.avg(F.element_at("_shape", k + 1)) for k in range(24)])
+    mean = F.array(*[F.avg(F.element_at("_shape", k + 1)) for k in range(features or 24)])
     parts = got.where("_shape IS NOT NULL").groupBy(group, "block", "cluster", "_n").agg(mean.alias("_c"), F.count("*").cast("double").alias("_days"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,6 +129,110 @@ def cluster_days(df: DataFrame, group: str, id_column: str, curve: str, neighbou
     return got.join(centres, group, "left").select(group, id_column, "block", name.alias("cluster"))
 
 
+def day_features(df: DataFrame, keys: list[str], tz: str, parts: int = 24, step: str = "PT1H", relative: bool = True, holidays: list[str] | None = None, bases: list[float] | None = None, time: str = "time", value: str = "value", temperature: str = "temperature") -> DataFrame:
+    """(keys..., date, weekday, isWeekend, isHolidays, month, consumption, minConsumption, maxConsumption, temperature, part_00..., hdd/cdd{base}): features of local days.
+
+    Of repeated hours the one that comes first counts. consumption is the hours' mean times their
+    number a day. A part is the mean of its hours, as a share of the parts' sum if ``relative``; NULL
+    without rows. Degrees count from two beyond each base.
+    """
+    require(df, time, value, temperature, *keys)
+    t = F.col(time).cast("timestamp")
+    local = F.from_utc_timestamp(t, tz)
+    hours = df.where(t.isNotNull()).groupBy(*keys, F.to_date(local).alias("date"), F.hour(local).alias("_h")).agg(F.min(F.struct(t.alias("t"), F.col(value).cast("double").alias("v"), F.col(temperature).cast("double").alias("w"))).alias("_x"))
+    part = F.floor(F.col("_h") / (24 / parts))
+    v, w = F.col("_x.v"), F.col("_x.w")
+    means = [F.avg(F.when(part == k, v)).alias(f"part_{k:02d}") for k in range(parts)]
+    names = [f"part_{k:02d}" for k in range(parts)]
+    days = hours.groupBy(*keys, "date").agg((F.avg(v) * (86400 // seconds(step))).alias("consumption"), F.min(v).alias("minConsumption"), F.max(v).alias("maxConsumption"), F.avg(w).alias("temperature"), *means)
+    total = sum((F.coalesce(n, F.lit(0.0)) for n in names), F.lit(0.0))
+    off = F.date_format("date", "yyyy-MM-dd").isin(holidays) if holidays else F.lit(False)
+    weekday = F.weekday("date") + 1
+    degrees = {f"{m}dd{b:g}": F.greatest((b - 2) - F.col("temperature") if m == "h" else F.col("temperature") - (b + 2), F.lit(0.0)) for b in bases or [] for m in "hc"}
+    degrees = {n: F.when(F.col("temperature").isNotNull(), c) for n, c in degrees.items()}
+    return days.select(
+        *keys, "date", weekday.alias("weekday"), (weekday >= 6).alias("isWeekend"), off.alias("isHolidays"), F.month("date").alias("month"),
+        "consumption", "minConsumption", "maxConsumption", "temperature", *[(F.try_divide(F.col(n), total) if relative else F.col(n)).alias(n) for n in names], *[c.alias(n) for n, c in degrees.items()],
+    )
+
+
+QUANTILES = [5, 10, 20, 30, 40, 50, 60, 80, 90, 95]  # percent, of the curves of consumption against temperature
+
+
+def day_signatures(days: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
+    """day_features() with tbal, baseload, residualsGAM{q}, hddX, cddX, slopeHdd, slopeCdd and residual per series.
+
+    Consumption against temperature is a spline at each of QUANTILES; residualsGAM is a day's distance
+    from it, relative. tbal is the mean temperature where the median curve is in its lowest fifth,
+    within the 20th and 80th percentile; degrees count from two beyond it. The slopes are those of the
+    upper quartile's regression on the degrees, 0 at least; residual is the day's consumption less its
+    fit, relative. NULL for series with fewer than ``least`` complete days. A series comes as one row a
+    day.
+    """
+    names = ["tbal", "baseload", *[f"residualsGAM{q}" for q in QUANTILES], "hddX", "cddX", "slopeHdd", "slopeCdd", "residual"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, t = pdf["consumption"].to_numpy(dtype=float), pdf["temperature"].to_numpy(dtype=float)
+        ok = np.isfinite(y) & np.isfinite(t)
+        out = {n: np.full(len(pdf), np.nan) for n in names}
+        if ok.sum() >= least and np.ptp(t[ok]) > 0:
+            lo, hi = np.quantile(t[ok], [0.2, 0.8])
+            knots = np.quantile(t[ok], [0.25, 0.5, 0.75])
+            z = lambda x: (x - t[ok].mean()) / max(t[ok].std(), 1e-9)
+            basis = lambda x: np.column_stack([np.ones(len(x)), z(x), *[np.maximum(z(x) - z(k), 0) for k in knots]])
+            for q in QUANTILES:
+                beta = quantile_regression(basis(t[ok]), y[ok], q / 100)
+                fit = basis(t) @ beta
+                out[f"residualsGAM{q}"] = np.where(np.abs(fit) > 1e-9, (y - fit) / fit, np.nan)
+                if q == 50:
+                    inside = fit[ok]
+                    tbal = float(np.clip(t[ok][inside <= np.quantile(inside, 0.2)].mean(), lo, hi))
+                    out["tbal"][:], out["baseload"][:] = tbal, float((basis(np.array([tbal])) @ beta)[0])
+            h, c = np.maximum(tbal - 2 - t, 0), np.maximum(t - tbal - 2, 0)
+            x = np.column_stack([np.ones(len(t)), h, c])
+            used = np.array([True, (h[ok] > 0).any(), (c[ok] > 0).any()])
+            beta = np.zeros(3)
+            beta[used] = quantile_regression(x[ok][:, used], y[ok], 0.75)
+            out["hddX"], out["cddX"] = h, c
+            out["slopeHdd"][:], out["slopeCdd"][:] = max(beta[1], 0.0), max(beta[2], 0.0)
+            out["residual"] = (x @ beta - y) / np.where(y > 0, y, 1.0)
+        return pdf.assign(**out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in days.schema.fields)
+    return days.groupBy(*keys).applyInPandas(run, schema + "".join(f", {n} double" for n in names))
+
+
+def scale_features(days: DataFrame, keys: list[str], inputs: list[str], method: str = "range01", scaling: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keys..., date, inputs... scaled per series) and the scaling, a row per series, for later days.
+
+    'range01': NULLs become the series' mean, the range 0 to 1, constants 0. 'znorm': less the mean
+    over the deviation, NULLs stay and so do features without deviation.
+    """
+    require(days, "date", *keys, *inputs)
+    x = {c: F.col(c).cast("double") for c in inputs}
+    if scaling is None:
+        stats = {"lo": F.min, "hi": F.max, "mean": F.avg, "sd": F.stddev_samp}
+        scaling = cut(days.groupBy(*keys).agg(*[f(x[c]).alias(f"{c}_{n}") for c in inputs for n, f in stats.items()]))
+    joined = days.select(*keys, "date", *[x[c].alias(c) for c in inputs]).join(scaling, keys)
+    of = lambda c, n: F.col(f"{c}_{n}")
+    ranged = lambda c: F.coalesce(F.try_divide(F.coalesce(F.col(c), of(c, "mean")) - of(c, "lo"), of(c, "hi") - of(c, "lo")), F.when(of(c, "mean").isNotNull(), 0.0))
+    scored = lambda c: F.try_divide(F.col(c) - of(c, "mean"), of(c, "sd"))
+    return joined.select(*keys, "date", *[(ranged(c) if method == "range01" else scored(c)).alias(c) for c in inputs]), scaling
+
+
+def cluster_features(days: DataFrame, key: str, inputs: list[str], ignore: list[str] | None = None, **limits: int) -> tuple[DataFrame, DataFrame]:
+    """(key, date, inputs..., cluster) of scaled days, and the centres (key, cluster, days, inputs...) by which classify later days.
+
+    Days in ``ignore`` (ISO dates) or with a NULL get no cluster. See cluster_days() for ``limits``.
+    """
+    require(days, key, "date", *inputs)
+    use = days.where(~F.date_format("date", "yyyy-MM-dd").isin(ignore)) if ignore else days
+    packed = use.select(key, "date", F.array(*inputs).alias("_curve"))
+    got = cluster_days(packed, key, "date", "_curve", features=len(inputs), **limits).select(key, "date", "cluster")
+    out = cut(days.select(key, "date", *inputs).join(got, [key, "date"], "left"))
+    return out, out.where("cluster IS NOT NULL").groupBy(key, "cluster").agg(F.count("*").alias("days"), *[F.avg(c).alias(c) for c in inputs])
+
+
 def change_points(df: DataFrame, keys: list[str], tz: str, temperature: str = "temperature", value: str = "value", time: str = "time", points: int = 40) -> DataFrame:
     """(keys..., tbalh, tbalc, heating, cooling): temperatures below and above which the daily consumption depends on the weather.
 

@@ -511,7 +511,7 @@ def iso8601z(spark, d):
 
 
 def queries() -> dict:
-    from gridlake.plans import models, registry, relational, sensors, storage  # noqa: F401 - they add their queries
+    from gridlake.plans import models, profiles, registry, relational, sensors, storage  # noqa: F401 - they add their queries
 
     return QUERIES
 
