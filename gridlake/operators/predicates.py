@@ -14,6 +14,8 @@ _TOKEN = re.compile(r"\s+|'(?:[^'\\]|'')*'|`[^`]+`|[A-Za-z_]\w*|\d+(?:\.\d+)?|<=
 
 def checked(text: str, columns: list[str]) -> Column:
     """A SQL predicate from settings: only the given columns, literals, operators and FUNCTIONS; anything else is an error."""
+    if "--" in text:
+        raise ValueError(f"{text!r} has a comment")
     at = 0
     while at < len(text):
         m = _TOKEN.match(text, at)
