@@ -64,15 +64,30 @@ def fourier_components(df: DataFrame, features: list[str], harmonics: int, mask:
     return df.select("*", *cols), limits
 
 
-def lag_components(df: DataFrame, keys: list[str], features: list[str], lags: list[int], time: str = "time", extend: bool = False) -> DataFrame:
-    """Add {feature}_l{k}; ``extend`` fills the first rows of a series with its first value."""
+def lag_components(df: DataFrame, keys: list[str], features: list[str], lags: list[int], time: str = "time", extend: bool = False, force: dict[str, Column] | None = None, before: DataFrame | None = None) -> DataFrame:
+    """Add {feature}_l{k}; ``extend`` fills the first rows of a series with its first value.
+
+    ``force`` replaces features by columns or literals first. ``before``: rows (keys, time, features) kept
+    from earlier, such as last_rows() of the training data; lags of the first rows are taken from them.
+    """
+    df = df.withColumns(force) if force else df
     require(df, time, *keys, *features)
+    own = df.columns
+    if before is not None:
+        df = df.withColumn("_own", F.lit(True)).unionByName(before.select(*keys, time, *features).withColumn("_own", F.lit(False)), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(time)
     first = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lagged = {f"{f}_l{k}": F.lag(f, k).over(w) for f in features for k in lags}
     if extend:
         lagged = {n: F.coalesce(c, F.first(n.rsplit("_l", 1)[0], ignorenulls=True).over(first)) for n, c in lagged.items()}
-    return df.withColumns(lagged)
+    out = df.withColumns(lagged)
+    return (out.where("_own") if before is not None else out).select(*own, *lagged)
+
+
+def last_rows(df: DataFrame, keys: list[str], columns: list[str], n: int, time: str = "time") -> DataFrame:
+    """(keys..., time, columns...): each series' last n rows, to begin the lags of later data with."""
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(time)))
+    return df.select(*keys, time, *columns, back.alias("_n")).where(F.col("_n") <= n).drop("_n")
 
 
 def low_pass(df: DataFrame, keys: list[str], features: list[str], alpha: float, time: str = "time", chunk: str = "P30D") -> DataFrame:

@@ -15,7 +15,7 @@ from gridlake.operators import predicates as pr
 from gridlake.operators import profiles as pf
 from gridlake.operators import readers as rd
 from gridlake.operators import registry as rg
-from gridlake.operators.features import low_pass
+from gridlake.operators.features import lag_components, last_rows, low_pass
 from gridlake.operators.fill import fill_series, gap_islands, integrate_readings
 from gridlake.operators.sentences import transform_sentences
 from gridlake.sources import series as so
@@ -250,3 +250,11 @@ def test_day_features_and_clusters(spark):
     assert pf.scale_features(days, ["s"], inputs, scaling=scaling)[0].count() == 60
     assert pf.day_signatures(days, ["s"]).where("tbal IS NOT NULL AND slopeHdd >= 0").count() == 60
     assert pf.day_features(df.limit(0), ["s"], "UTC").count() == 0
+
+
+def test_lags_begin_with_rows_kept(spark):
+    df = spark.createDataFrame([("s", T0 + timedelta(hours=h), float(h), "x") for h in range(6)], "k string, time timestamp, v double, extra string")
+    kept = last_rows(df.where("v < 4"), ["k"], ["v"], 2)
+    got = lag_components(df.where("v >= 4"), ["k"], ["v"], [1, 2], before=kept).orderBy("time").collect()
+    assert [(r.v, r.v_l1, r.v_l2, r.extra) for r in got] == [(4.0, 3.0, 2.0, "x"), (5.0, 4.0, 3.0, "x")]
+    assert lag_components(df, ["k"], ["v"], [1], force={"v": F.lit(9.0)}).where("v_l1 = 9").count() == 5
