@@ -35,10 +35,11 @@ def read_csv_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_series(df: DataFrame, path: str, key: str = "id") -> None:
-    """One JSON object per series, NULLs written; partitioned by the key so that a reader prunes."""
+    """One JSON object, and file, per series and month of ``start``, NULLs written; partitioned by the key so that a reader prunes."""
     point = F.struct(*[c for c in df.columns if c != key])
-    out = df.groupBy(key).agg(F.to_json(F.create_map(F.col(key), F.sort_array(F.collect_list(point))), {"ignoreNullFields": "false"}).alias("value"))
-    out.write.mode("overwrite").partitionBy(key).text(path)
+    month = F.coalesce(F.date_format(F.col("start").cast("timestamp"), "yyyy-MM"), F.lit("none"))
+    out = df.groupBy(key, month.alias("month")).agg(F.to_json(F.create_map(F.col(key), F.sort_array(F.collect_list(point))), {"ignoreNullFields": "false"}).alias("value"))
+    out.write.mode("overwrite").partitionBy(key, "month").text(path)
 
 
 def read_kpi_series(spark: SparkSession, path: str, hashes: list[str] | None = None) -> DataFrame:
