@@ -312,3 +312,21 @@ def classify_days(days: DataFrame, centres: DataFrame, columns: list[str], label
     near = nearest_centroid(days, centres, columns, label)
     got = classifier.transform(near)
     return got.select(*days.columns, F.coalesce(label, "predicted").alias(label), F.when(F.col(label).isNotNull(), "curve").otherwise("calendar").alias("by"))
+
+
+def vote_days(days: DataFrame, features: DataFrame, inputs: list[str], curves: DataFrame, hours: list[str], label: str, classifier=None, normal: str = "features", abnormal: str = "curves", most_missing: int = 1) -> DataFrame:  # noqa: ANN001
+    """days with ``label``, ``abnormal`` and the votes by_features, by_curves and by_calendar.
+
+    Votes: the nearest centre by the inputs, by the hours, and the calendar classifier's (NULL without
+    one). A day that lacks an input is abnormal. A distance may lack ``most_missing`` terms, else its
+    vote is NULL. The label is the vote named by ``normal`` or ``abnormal``: 'features', 'curves',
+    'calendar'.
+    """
+    require(days, *inputs, *hours)
+    got = nearest_centroid(days, features, inputs, label, most_missing).withColumnRenamed(label, "by_features").drop("distance")
+    got = nearest_centroid(got, curves, hours, label, most_missing).withColumnRenamed(label, "by_curves").drop("distance")
+    got = classifier.transform(got).withColumnRenamed("predicted", "by_calendar") if classifier else got.withColumn("by_calendar", F.lit(None).cast("string"))
+    lacks = F.lit(False)
+    for c in inputs:
+        lacks = lacks | F.col(c).isNull()
+    return got.select(*days.columns, "by_features", "by_curves", "by_calendar", lacks.alias("abnormal"), F.when(lacks, F.col(f"by_{abnormal}")).otherwise(F.col(f"by_{normal}")).alias(label))

@@ -27,6 +27,11 @@ S = ["sensorid"]
 TERMS = [m.Feature("one", expr="one"), m.Feature("heat", expr="heat"), m.Feature("cool", expr="cool"), m.Feature("hour", categories="hour")]
 
 
+_ONE = f"x AS (SELECT sensorid, arg_min(qe, reading_id)::DOUBLE AS y, arg_min(temperature, reading_id)::DOUBLE AS t FROM building_hourly WHERE {{}} GROUP BY sensorid, reading_ts)".format(
+    " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND {c} NOT IN ({', '.join(f'{x}::DOUBLE' for x in PLACEHOLDER_NUMBERS)})" for c in ("qe", "temperature")) + " AND qe >= 0 AND temperature BETWEEN -60 AND 60 AND abs(temperature) BETWEEN 0 AND 60"
+)
+
+
 @query(f"WITH {HOURS}, l AS (SELECT series_id, value, lag(value) OVER (PARTITION BY series_id ORDER BY time) AS p FROM h) SELECT series_id, {r('-sqrt(avg(pow(value - p, 2))) / avg(value)', '\"CVRMSE\"')}, {r('-sqrt(avg(pow(value - p, 2)))', '\"RMSE\"')}, {r('pow(corr(value, p), 2)', '\"R2\"')} FROM l WHERE p IS NOT NULL GROUP BY 1")
 def regression_metrics(spark, d):
     return m.regression_metrics(lag_components(hours(spark, d), K, ["value"], [1]), "value", "value_l1", K)
@@ -38,6 +43,12 @@ def glm_gaussian(spark, d):
     return m.regression_metrics(m.predict(m.fit_linear(x, TERMS, "value"), x, low=0.0), "value", "predicted", S)
 
 
+@query(f"WITH {_ONE}, b AS (SELECT regr_slope(y, t) AS s, regr_intercept(y, t) AS a FROM x) SELECT sensorid, round(-sqrt(avg(pow(y - a - s * t, 2))) + 1.3e-8, 3) + 0.0 AS \"RMSE\" FROM x, b GROUP BY 1", digits=3)
+def glm_line(spark, d):
+    x = readings(spark, d)
+    return m.regression_metrics(m.predict(m.fit_linear(x, [m.Feature("t", expr="temperature")], "value"), x), "value", "predicted", S).select("sensorid", "RMSE")
+
+
 @query()
 def glm_gamma(spark, d):
     x = readings(spark, d).where("value > 0")
@@ -50,9 +61,6 @@ def random_forest(spark, d):
     return m.regression_metrics(m.predict(m.fit_forest(x, [m.Feature("t", expr="temperature"), m.Feature("h", expr="CAST(hour AS INT)"), m.Feature("d", expr="weekday(time)"), m.Feature("heat", expr="heat"), m.Feature("cool", expr="cool")], "value"), x), "value", "predicted", S)
 
 
-_ONE = f"x AS (SELECT sensorid, arg_min(qe, reading_id)::DOUBLE AS y, arg_min(temperature, reading_id)::DOUBLE AS t FROM building_hourly WHERE {{}} GROUP BY sensorid, reading_ts)".format(
-    " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND {c} NOT IN ({', '.join(f'{x}::DOUBLE' for x in PLACEHOLDER_NUMBERS)})" for c in ("qe", "temperature")) + " AND qe >= 0 AND temperature BETWEEN -60 AND 60 AND abs(temperature) BETWEEN 0 AND 60"
-)
 
 
 @query(f"WITH {_ONE} SELECT sensorid, unnest(['one', 'temperature']) AS term, round(unnest([regr_intercept(y, t), regr_slope(y, t)]), 3) + 0.0 AS coefficient FROM x GROUP BY 1 HAVING regr_slope(y, t) IS NOT NULL", digits=3)

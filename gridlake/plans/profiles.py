@@ -94,3 +94,17 @@ def indicator_triples(spark, d):
     rows = kp.longitudinal_indicators(hours(spark, d), K, {"EnergyUse": F.col("value")}, ["P1D", "P1M"], min_share=0.0)
     got = kp.indicator_triples(rows, K, "x:")
     return got.groupBy(F.regexp_extract("p", r"([^#:/]*)$", 1).alias("p"), "o").agg(F.count("*").alias("n"))
+
+
+_FAR = "sqrt((coalesce({a}0 - c.q0, 0)) ** 2 + (coalesce({a}1 - c.q1, 0)) ** 2 + (coalesce({a}2 - c.q2, 0)) ** 2 + (coalesce({a}3 - c.q3, 0)) ** 2)"
+
+
+@query(f"""WITH {_DAYS}, s AS (SELECT series_id, date, CASE WHEN day(date) % 10 > 0 THEN c END AS c, {', '.join(f'q{k} / ({_SUM}) AS q{k}' for k in range(4))} FROM d WHERE series_id = 'purchase'), w AS (SELECT *, CASE WHEN isodow(date) >= 6 THEN 'off' ELSE 'on' END AS kind FROM s),
+f AS (SELECT kind, avg(c) AS c FROM w GROUP BY 1), g AS (SELECT kind, avg(q0) AS q0, avg(q1) AS q1, avg(q2) AS q2, avg(q3) AS q3 FROM w GROUP BY 1), a AS (SELECT date, arg_min(f.kind, (abs(w.c - f.c), f.kind)) AS k FROM w, f WHERE w.c IS NOT NULL GROUP BY 1),
+b AS (SELECT date, arg_min(c.kind, ({_FAR.format(a='w.q')}, c.kind)) AS k FROM w, g c GROUP BY 1) SELECT strftime(w.date, '%Y-%m-%d') AS date, w.c IS NULL AS abnormal, CASE WHEN w.c IS NULL THEN b.k ELSE a.k END AS kind FROM w LEFT JOIN a USING (date) LEFT JOIN b USING (date)""")
+def day_votes(spark, d):
+    parts = [f"part_{k:02d}" for k in range(4)]
+    days = _features(spark, d).where("series_id = 'purchase'").withColumn("consumption", F.when(F.dayofmonth("date") % 10 > 0, F.col("consumption"))).select("date", "isWeekend", "consumption", *parts)
+    kinds = days.withColumn("kind", F.when(F.col("isWeekend"), "off").otherwise("on"))
+    centres = lambda cs: kinds.groupBy("kind").agg(*[F.avg(c).alias(c) for c in cs])
+    return pf.vote_days(days, centres(["consumption"]), ["consumption"], centres(parts), parts, "kind", most_missing=0).select("date", "abnormal", "kind")
