@@ -195,3 +195,30 @@ def ga_tuning(spark, d):
 
     best, score = optimise(fitness, [Setting("heating", "integer", 10, 21), Setting("cooling", "integer", 18, 28)])
     return spark.createDataFrame([(float(best["heating"]), float(best["cooling"]), score)], "heating double, cooling double, mse double")
+
+
+@query(f"""WITH {HOURS}, l AS (SELECT series_id, time, value AS y, lag(value) OVER w AS p, row_number() OVER (PARTITION BY series_id ORDER BY time DESC) AS back FROM h WINDOW w AS (PARTITION BY series_id ORDER BY time)),
+b AS (SELECT series_id, regr_slope(y, p) AS s, regr_intercept(y, p) AS a, arg_max(y, time) AS y FROM l WHERE back > 3 GROUP BY 1), p AS (SELECT *, a + s * y AS p1, a + s * (a + s * y) AS p2, a + s * (a + s * (a + s * y)) AS p3 FROM b)
+SELECT series_id, epoch(l.time)::BIGINT AS time, {r('CASE back WHEN 3 THEN p1 WHEN 2 THEN p2 ELSE p3 END', 'predicted', 4)} FROM l JOIN p USING (series_id) WHERE back <= 3""", digits=4)
+def ar_recursive(spark, d):
+    """Three steps of a model with one lag, for which SQL has the fit."""
+    return m.autoregressive(hours(spark, d), K, [], "value", [1], 3)
+
+
+@query(f"""WITH {HOURS}, i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY time) - 1 AS i FROM h)
+SELECT series_id, epoch(time)::BIGINT AS time, {r('sum(value * pow(0.995, -i)) OVER w / (sum(pow(0.995, -i)) OVER w + 0.995 * 1e-4)', 'one', 4)} FROM i WINDOW w AS (PARTITION BY series_id ORDER BY time)""", digits=4)
+def rls_level(spark, d):
+    """Recursive least squares of a constant: a mean that forgets."""
+    return m.recursive_coefficients(hours(spark, d).withColumn("one", F.lit(1.0)), K, ["one"], "value", 0.995)
+
+
+_SPLIT = f"""{HOURS}, x AS (SELECT series_id, time, value, greatest(12 - hour(time), 0)::DOUBLE AS heat, greatest(hour(time) - 18, 0)::DOUBLE AS cool FROM h),
+s AS (SELECT series_id, time, value, avg(5.0) OVER w AS b, avg(0.8 * heat) OVER w AS h, avg(0.6 * cool) OVER w AS c FROM x WINDOW w AS (PARTITION BY series_id ORDER BY time ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+
+
+@query(f"WITH {_SPLIT} SELECT series_id, epoch(time)::BIGINT AS time, {r('b', 'baseload')}, {r('h', 'heating_part')}, {r('c', 'cooling_part')}, {r('value * b / (b + h + c)', 'baseload_real')}, {r('value * h / (b + h + c)', 'heating_real')}, {r('value * c / (b + h + c)', 'cooling_real')} FROM s")
+def disaggregate_known(spark, d):
+    """By a predictor of known coefficients."""
+    x = hours(spark, d).select("series_id", "time", "value", F.greatest(12 - F.hour("time"), F.lit(0)).cast("double").alias("heat"), F.greatest(F.hour("time") - 18, F.lit(0)).cast("double").alias("cool"))
+    got = m.disaggregate(x, lambda df: df.withColumn("predicted", 5.0 + 0.8 * F.col("heat") + 0.6 * F.col("cool")), K, "heat", "cool", "value")
+    return got.drop("value", "heat", "cool")
