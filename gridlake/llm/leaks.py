@@ -117,6 +117,13 @@ class Automaton:
         self.places = np.argsort(of_place, kind="stable")
         self.first = np.searchsorted(of_place[self.places], np.arange(len(nxt) + 1))
 
+    def numbers(self, words: Words) -> np.ndarray:
+        """Number of each word among the passages' words, far below 0 for others."""
+        if not len(self.words):
+            return np.full(len(words.hash), -(1 << 30), np.int32)
+        at = np.minimum(np.searchsorted(self.words, words.hash), len(self.words) - 1)
+        return np.where(self.words[at] == words.hash, at, -(1 << 30)).astype(np.int32)
+
     def ends(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
         """(word of the text, state of its seed, word after) wherever a match of SEED words or more ends at some place of the state."""
         nxt, link, length, seed = self.next, self.link, self.length, self.seed
@@ -171,7 +178,7 @@ class Automaton:
         return row[ends], place[ends]
 
 
-def candidates(auto: Automaton, words: Words, page_break: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(auto: Automaton, words: Words, ids: np.ndarray, page_break: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, passage, least shift, largest shift) worth aligning; a shift is where in the text the passage would begin.
 
     17 of some 20 passage words around a seed stand about where they should. Seeds of one passage
@@ -180,9 +187,6 @@ def candidates(auto: Automaton, words: Words, page_break: int) -> tuple[np.ndarr
     none = np.zeros(0, np.int64)
     if not len(auto.words) or not len(words.hash):
         return none, none, none, none
-    at = np.minimum(np.searchsorted(auto.words, words.hash), len(auto.words) - 1)
-    ids = np.where(auto.words[at] == words.hash, at, -(1 << 30))
-    ids = ids.astype(np.int32)
     found = [(d + i, u, w if w >= 0 else int(ids[z]) if z < len(ids) else w) for d, z in zip(*(x.tolist() for x in auto.stretches(ids, words)), strict=True) for i, u, w in auto.ends_met(ids[d:z])]
     if not found:
         return none, none, none, none
@@ -207,9 +211,10 @@ def candidates(auto: Automaton, words: Words, page_break: int) -> tuple[np.ndarr
             near = here[:, 2:69] == target
             for shift in (0, 1, 3, 4):
                 near |= here[:, shift : shift + 67] == target
-            sums = np.zeros((len(w), 68), np.int8)
-            np.cumsum(near, axis=1, dtype=np.int8, out=sums[:, 1:])
-            good = (sums[:, width:] - sums[:, :-width]).max(axis=1) >= 17
+            good = np.count_nonzero(near, axis=1) >= 17
+            sums = np.zeros((int(good.sum()), 68), np.int8)
+            np.cumsum(near[good], axis=1, dtype=np.int8, out=sums[:, 1:])
+            good[good] = (sums[:, width:] - sums[:, :-width]).max(axis=1) >= 17
             kept.append(np.stack([ends[r], q, texts[r]])[:, good])
     where, place, text = np.concatenate([np.zeros((3, 0), np.int64), *kept], axis=1)
     of = auto.of[place]
@@ -222,10 +227,10 @@ def candidates(auto: Automaton, words: Words, page_break: int) -> tuple[np.ndarr
     return text[new], of[new], shift[new], shift[last]
 
 
-def best_scores(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def best_scores(auto: Automaton, words: Words, ids: np.ndarray, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The score that align() would give, without what stands where: a fifth of its work."""
     out = np.zeros(len(text), np.int64)
-    for pick, rows, cols, doc in _windows(auto, words, text, of, low, high):
+    for pick, rows, cols, doc in _windows(auto, words, ids, text, of, low, high):
         kind = np.int16 if MATCH * rows + cols + FAR < 1 << 14 else np.int32
         j = np.arange(cols + 1, dtype=kind)
         score = np.zeros((len(pick), cols + 1), kind)
@@ -240,12 +245,11 @@ def best_scores(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray,
     return out
 
 
-def _windows(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+def _windows(auto: Automaton, words: Words, ids: np.ndarray, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
     """(candidates, words of their longest passage, columns, word numbers of the text in each column), as many at once as two million cells hold."""
     if not len(text):
         return
-    at = np.minimum(np.searchsorted(auto.words, words.hash), max(len(auto.words) - 1, 0))
-    ids = np.append(np.where(auto.words[at] == words.hash, at, -(1 << 30)), -(1 << 30))
+    ids = np.append(ids, np.int32(-(1 << 30)))
     columns = auto.size[of] + 96 + high - low
     order = np.lexsort((columns, auto.size[of]))
     a = 0
@@ -261,14 +265,14 @@ def _windows(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, lo
         yield pick, int(auto.size[of[pick]].max()), cols, np.where(inside, ids[np.clip(doc_at, 0, len(ids) - 1)], -(1 << 30)).astype(np.int32)
 
 
-def align(auto: Automaton, words: Words, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def align(auto: Automaton, words: Words, ids: np.ndarray, text: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Best local alignment of each passage near its places in a text: rows (score, passage words spanned, words alike, first word of the text, last).
 
     Words of the text in between cost SKIP each and FAR at most, so a page break of any length
     costs the same; other changes cost MISS.
     """
     out = np.zeros((len(text), 5), np.int64)
-    for pick, rows, cols, doc in _windows(auto, words, text, of, low, high):
+    for pick, rows, cols, doc in _windows(auto, words, ids, text, of, low, high):
         shift = (cols + 1).bit_length()
         mask = (1 << shift) - 1
         wide = np.int32 if (MATCH * rows + 2 * cols + FAR + 2) << shift < 1 << 31 else np.int64
@@ -489,11 +493,12 @@ def leaks_in(auto: Automaton, texts: list[str], running: int, score: float, page
     out: list[Leak] = []
     names = np.arange(len(texts))
     while True:
-        found = candidates(auto, words, page_break)
+        ids = auto.numbers(words)
+        found = candidates(auto, words, ids, page_break)
         need = np.minimum(running, auto.size[found[1]])
-        high_enough = best_scores(auto, words, *found) >= score * need
+        high_enough = best_scores(auto, words, ids, *found) >= score * need
         text, of, low, high = (x[high_enough] for x in found)
-        got, need = align(auto, words, text, of, low, high), need[high_enough]
+        got, need = align(auto, words, ids, text, of, low, high), need[high_enough]
         leak = (got[:, 1] >= need) & (got[:, 0] >= score * need)
         best: dict[tuple[int, int], Leak] = {}
         for t, p, (_, w, s, a, z) in zip(text[leak].tolist(), of[leak].tolist(), got[leak].tolist(), strict=True):
