@@ -39,6 +39,28 @@ def carry(rows: DataFrame, before: dict[str, Column] | None = None, after: dict[
     return rows.join(blocks.select("_g", *[c.alias(n) for n, c in out.items()]), "_g")
 
 
+def numbered(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """df with ``_g`` of in_blocks() and ``_r``: its row numbers in its series by time, from 0."""
+    rows = carry(in_blocks(df, keys, time), sums={"_before": F.count("*")})
+    return rows.withColumn("_r", F.row_number().over(inside(time)) + F.col("_before") - 1).drop("_before")
+
+
+def row_blocks(df: DataFrame, keys: list[str], time: str, reach: int, size: int = 20_000) -> DataFrame:
+    """df in blocks of ``size`` rows of a series, each seen with the ``reach`` rows before it: ``_r``, the block ``_b``, and ``_mine`` for the rows that are its own.
+
+    Windows over rows_of() see up to ``reach`` rows back whatever the block; keep ``_mine`` afterwards.
+    """
+    size = max(size, 4 * reach)
+    block = lambda r: F.floor(r / size)
+    rows = numbered(df, keys, time)
+    rows = rows.withColumn("_at", F.explode(F.sequence(block(F.col("_r")), block(F.col("_r") + reach))))
+    return rows.withColumns({"_b": F.struct(F.col("_g.k").alias("k"), F.col("_at").alias("b")), "_mine": F.col("_at") == block(F.col("_r"))}).drop("_at", "_g")
+
+
+def rows_of() -> WindowSpec:
+    return Window.partitionBy("_b").orderBy("_r")
+
+
 def sorted_blocks(df: DataFrame, keys: list[str], order: list[Column], fn: Callable[[pa.Table, np.ndarray], dict[str, pa.Array]], add: str) -> DataFrame:
     """df with columns computed by ``fn`` from whole groups of ``keys``: rows as an Arrow table, where groups begin -> columns named as in ``add``.
 

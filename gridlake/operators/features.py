@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.period import bucket, seconds
-from gridlake.operators.blocks import in_blocks, sorted_blocks
+from gridlake.operators.blocks import in_blocks, row_blocks, rows_of, sorted_blocks
 from gridlake.runtime import cut, require
 
 
@@ -67,6 +67,7 @@ def fourier_components(df: DataFrame, features: list[str], harmonics: int, mask:
 def lag_components(df: DataFrame, keys: list[str], features: list[str], lags: list[int], time: str = "time", extend: bool = False, force: dict[str, Column] | None = None, before: DataFrame | None = None) -> DataFrame:
     """Add {feature}_l{k}; ``extend`` fills the first rows of a series with its first value.
 
+    Series are worked in blocks of rows, each seen with as many rows before it as the largest lag.
     ``force`` replaces features by columns or literals first. ``before``: rows (keys, time, features) kept
     from earlier, such as last_rows() of the training data; lags of the first rows are taken from them.
     """
@@ -75,12 +76,13 @@ def lag_components(df: DataFrame, keys: list[str], features: list[str], lags: li
     own = df.columns
     if before is not None:
         df = df.withColumn("_own", F.lit(True)).unionByName(before.select(*keys, time, *features).withColumn("_own", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time)
-    first = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lagged = {f"{f}_l{k}": F.lag(f, k).over(w) for f in features for k in lags}
+    lagged = {f"{f}_l{k}": F.lag(f, k).over(rows_of()) for f in features for k in lags}
+    out = row_blocks(df, keys, time, max(lags)).withColumns(lagged).where("_mine")
     if extend:
-        lagged = {n: F.coalesce(c, F.first(n.rsplit("_l", 1)[0], ignorenulls=True).over(first)) for n, c in lagged.items()}
-    out = df.withColumns(lagged)
+        firsts = df.groupBy(*keys).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col(time))).alias(f"_first{i}") for i, f in enumerate(features)])
+        firsts = firsts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_first{i}" for i in range(len(features))])
+        out = out.join(firsts, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        out = out.withColumns({f"{f}_l{k}": F.coalesce(f"{f}_l{k}", f"_first{i}") for i, f in enumerate(features) for k in lags})
     return (out.where("_own") if before is not None else out).select(*own, *lagged)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions.numerics import bounded_solution, density, density_valleys, loess, out_of_band_periodogram, recursive_least_squares
 from gridlake.functions.period import bucket
+from gridlake.operators.blocks import numbered
 from gridlake.runtime import cut, require
 
 
@@ -189,11 +190,11 @@ def time_slices(df: DataFrame, keys: list[str], initial: int, horizon: int, skip
 
     Without ``folds`` a series has as many as there are whole horizons for, to its end.
     """
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1
-    rows = df.withColumn("_n", n)
-    step = F.lit(skip + 1)
+    own, step = df.columns, F.lit(skip + 1)
+    rows = numbered(df, keys, time).withColumnRenamed("_r", "_n")
     if folds is None:
-        rows = rows.withColumn("_last", F.floor((F.count("*").over(Window.partitionBy(*keys)) - initial - horizon) / step))
+        count = df.groupBy(*keys).agg(F.count("*").alias("_all")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_all")
+        rows = rows.join(count, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).withColumn("_last", F.floor((F.col("_all") - initial - horizon) / step))
     else:
         rows = rows.withColumn("_last", F.lit(folds - 1).cast("bigint"))
     low = F.greatest(F.lit(0), F.floor((F.col("_n") - initial - horizon) / step) + 1)  # the first fold whose test has not ended before the row
@@ -202,7 +203,7 @@ def time_slices(df: DataFrame, keys: list[str], initial: int, horizon: int, skip
     end = F.lit(initial) + F.col("fold") * (skip + 1)
     first = end - initial if fixed else F.lit(0)
     part = F.when((F.col("_n") >= first) & (F.col("_n") < end), "train").when((F.col("_n") >= end) & (F.col("_n") < end + horizon), "test")
-    return rows.withColumn("part", part).where("part IS NOT NULL").drop("_n", "_last", "_low", "_high")
+    return rows.withColumn("part", part).where("part IS NOT NULL").select(*own, "fold", "part")
 
 
 def prediction_intervals(df: DataFrame, keys: list[str], period: str, mean: str = "predicted", sigma: str = "sigma", how: str = "SUM", draws: int = 1000, floor: float | None = None, time: str = "time", tz: str = "UTC", seed: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions.numerics import quantile_regression
 from gridlake.functions.period import bucket, seconds
-from gridlake.operators.blocks import carry, in_blocks
+from gridlake.operators.blocks import carry, in_blocks, row_blocks, rows_of
 from gridlake.runtime import require
 
 
@@ -69,12 +69,11 @@ def zscore_outliers(df: DataFrame, keys: list[str], threshold: float, window: st
         joined = df.join(one, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
         return joined.withColumn("outlier", F.abs(F.try_divide(v - F.col("_mid"), F.col("_sd"))) >= threshold).select(*df.columns, "outlier")
     else:
-        order = Window.partitionBy(*keys).orderBy(time)
         n = max(1, seconds(window) // seconds(step))
-        w = order.rowsBetween(-(n - 1), 0)
-        df = df.withColumn("_z", F.try_divide(v - F.avg(v).over(w), F.stddev_samp(v).over(w)))
-        z = F.when(F.row_number().over(order) == 1, F.lead("_z").over(order)).otherwise(F.col("_z"))
-    return df.withColumn("outlier", F.abs(z) >= threshold).drop("_z")
+        own, w = df.columns, rows_of().rowsBetween(-(n - 1), 0)
+        rows = row_blocks(df, keys, time, n).withColumn("_z", F.try_divide(v - F.avg(v).over(w), F.stddev_samp(v).over(w)))
+        z = F.when(F.col("_r") == 0, F.lead("_z").over(rows_of())).otherwise(F.col("_z"))
+        return rows.withColumn("outlier", F.abs(z) >= threshold).where("_mine").select(*own, "outlier")
 
 
 def profiled_days(df: DataFrame, keys: list[str], tz: str, time: str = "time", value: str = "value") -> DataFrame:

@@ -17,6 +17,7 @@ from gridlake.operators import readers as rd
 from gridlake.operators import registry as rg
 from gridlake.operators.features import lag_components, last_rows, low_pass
 from gridlake.operators.fill import fill_series, gap_islands, integrate_readings
+from gridlake.operators.outliers import zscore_outliers
 from gridlake.operators.sentences import transform_sentences
 from gridlake.sources import series as so
 
@@ -258,3 +259,20 @@ def test_lags_begin_with_rows_kept(spark):
     got = lag_components(df.where("v >= 4"), ["k"], ["v"], [1, 2], before=kept).orderBy("time").collect()
     assert [(r.v, r.v_l1, r.v_l2, r.extra) for r in got] == [(4.0, 3.0, 2.0, "x"), (5.0, 4.0, 3.0, "x")]
     assert lag_components(df, ["k"], ["v"], [1], force={"v": F.lit(9.0)}).where("v_l1 = 9").count() == 5
+
+
+def test_lags_and_rolling_scores_in_blocks_of_rows(spark):
+    """More rows than a block of rows holds, ties included: lags and trailing windows reach over its edge."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=45_000), 3)
+    pdf = pd.DataFrame({"k": "s", "time": pd.Timestamp("2023-01-01", tz="UTC") + pd.to_timedelta(np.arange(45_000) * 60, unit="s"), "v": v})
+    df = spark.createDataFrame(pdf)
+    got = lag_components(df, ["k"], ["v"], [1, 30], extend=True).orderBy("time").toPandas()
+    assert np.allclose(got.v_l30, pd.Series(v).shift(30).fillna(v[0])) and len(got) == 45_000
+    flags = zscore_outliers(df.withColumnRenamed("v", "value"), ["k"], 2.0, "PT1H", "PT1M").orderBy("time").toPandas().outlier
+    roll = pd.Series(v).rolling(60, min_periods=1)
+    z = ((pd.Series(v) - roll.mean()) / roll.std()).to_numpy()
+    z[0] = z[1]
+    assert (flags.to_numpy(dtype=bool) == (np.abs(z) >= 2)).mean() > 0.9999
