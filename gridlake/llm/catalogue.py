@@ -96,7 +96,8 @@ def oracle_sql() -> dict[str, str]:
         "p4_usetype": sql(f"CASE WHEN usetype IS NOT NULL AND lower(trim(usetype)) NOT IN ({words}) THEN usetype END", "usetype"),
         "p4_month": sql(month, "month"),
         "p4_combined": sql(month, "month"),
-        "p9_found": """WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) > 4),
-h AS (SELECT r, i, row_number() OVER (PARTITION BY r, hash(list_slice(w, i, i + 4)) ORDER BY i) > 1 AS again FROM g), c AS (SELECT DISTINCT r, i + unnest(range(5)) AS i FROM h WHERE again), n AS (SELECT r, count(*) AS n FROM c GROUP BY r)
-SELECT doc_id FROM w JOIN n USING (r) WHERE n > len(w) / 3.0""",
+        "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, i, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS k FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) > 1 AS again FROM g WHERE k IS NOT NULL), c AS (SELECT DISTINCT doc_id, i + unnest(range(5)) AS i FROM h WHERE again), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
+SELECT doc_id FROM d JOIN n USING (doc_id) WHERE n > len(w) / 3.0""",
     }
