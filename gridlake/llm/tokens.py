@@ -215,7 +215,8 @@ def frequent_words(df: DataFrame, text: str, least: int, most: int) -> list[str]
         yield _counted(count)
 
     words = df.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    # Collected as one row: a limit that ends the plan would send as many words of every partition to the driver.
+    return words.orderBy(F.desc("n"), "word").limit(most).agg(F.collect_list("word")).first()[0]
 
 
 def _spell(codes: np.ndarray, begin: int, size: int) -> str:
@@ -227,12 +228,8 @@ def _counted(count: dict[int, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], ["word", "n"])
 
 
-def compile_lexicon(df: DataFrame, text: str, vocabulary: str, least: int, most: int, sample: int) -> str:
+def compile_lexicon(df: DataFrame, text: str, vocabulary: str, least: int, most: int) -> str:
     """Hand the automaton and the ids of its words to all executors as a file; returns its name."""
-    rows = df.count()
-    if rows > sample:
-        # A hash of the text picks rows, so the lexicon is the same however the table is cut.
-        df = df.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int((1 << 20) * sample / rows))
     words = frequent_words(df, text, least, most)
     merger = Merger(vocabulary)
     auto = build_automaton(words)
@@ -309,15 +306,15 @@ class Encoder:
         return self.ids[at], np.concatenate([[0], upto])[first]
 
 
-def encode_corpus(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", least: int = 3, most: int = 60_000, sample: int = 20_000) -> DataFrame:
+def encode_corpus(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", least: int = 3, most: int = 60_000) -> DataFrame:
     """(id, ids): the ids of every row's text, without special tokens; NULL and empty texts give an empty list.
 
-    ``vocabulary`` is the path of a byte-level BPE file that every executor can read. ``sample`` rows
-    are read for the lexicon, of whose pre-tokens ``least`` and ``most`` bound frequency and number;
-    these change the speed only.
+    ``vocabulary`` is the path of a byte-level BPE file that every executor can read. Pre-tokens are
+    counted over all rows; ``least`` and ``most`` bound the frequency and number of those that the
+    lexicon holds, which changes the speed only.
     """
     require(df, id_column, text)
-    folder = compile_lexicon(df, text, vocabulary, least, most, sample)
+    folder = compile_lexicon(df, text, vocabulary, least, most)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,6 +85,22 @@ def test_tokens_equal_the_library(spark, most):
     assert [got[i] for i in range(len(texts))] == [w.ids for w in want]
 
 
+def test_lexicon_counts_every_row(spark, monkeypatch):
+    names, compile_lexicon = [], tk.compile_lexicon
+    monkeypatch.setattr(tk, "compile_lexicon", lambda *a: names.append(compile_lexicon(*a)) or names[-1])
+    # 10,000 words in three rows each, 12,500 in two: a count over fewer rows misses words or takes others.
+    spell = "translate(cast({} AS string), '0123456789', 'abcdefghij')"
+    df = spark.range(55_000).selectExpr("id AS doc_id", f"CASE WHEN id < 30000 THEN {spell.format('id div 3')} ELSE 'x' || {spell.format('id div 2')} END AS text")
+    tk.encode_corpus(df, VOCABULARY)
+    often, seldom = ([r.text for r in df.where(c).select("text").distinct().collect()] for c in ("doc_id < 30000", "doc_id >= 30000"))
+    auto = tk.open_lexicon(names[0])
+    size = np.array([len(w) for w in often + seldom])
+    codes = np.frombuffer("".join(often + seldom).encode("utf-32-le"), np.uint32)
+    held = tk.look_up(auto, codes, np.cumsum(size) - size, size) >= 0
+    assert len(often) == 10_000 and held[:10_000].all() and not held[10_000:].any()
+    assert len(auto["ids_begin"]) == 10_001
+
+
 def test_automaton_numbers_words():
     rnd = random.Random(2)
     words = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 7))) for _ in range(300)})
