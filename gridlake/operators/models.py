@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from gridlake.functions.numerics import bounded_solution, density, density_valleys, loess, out_of_band_periodogram, recursive_least_squares
 from gridlake.functions.period import bucket
 from gridlake.operators.blocks import numbered
+from gridlake.operators.forest import LEAF, grow
 from gridlake.runtime import cut, require
 
 
@@ -62,9 +63,20 @@ def fit_linear(df: DataFrame, features: list[Feature], target: str, family: str
 
 
 def fit_forest(df: DataFrame, features: list[Feature], target: str, trees: int = 500, seed: int = 1) -> PipelineModel:
-    """Random forest with at least six rows a leaf and the root of the number of features tried per split."""
-    rf = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=6, seed=seed, labelCol=target, featuresCol="features", predictionCol="predicted")
-    return Pipeline(stages=[*build_features(features), rf]).fit(df.where(F.col(target).isNotNull()))
+    """Random forest with at least six rows a leaf and the root of the number of features tried per split.
+
+    Rows that fall into at most ``forest.CELLS`` combinations of bins are drawn and predicted by
+    cells; more of them go to Spark's own forest, which visits every row in every tree.
+    """
+    rows = df.where(F.col(target).isNotNull())
+    terms = Pipeline(stages=build_features(features)).fit(rows)
+    model = grow(terms.transform(rows), "features", target, trees, seed)
+    if model is None:
+        rf = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=LEAF, seed=seed, labelCol=target, featuresCol="features", predictionCol="predicted")
+        model = rf.fit(terms.transform(rows))
+    else:
+        model.set(model.predictionCol, "predicted")
+    return PipelineModel([*terms.stages, model])
 
 
 def predict(model: PipelineModel, df: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
